@@ -1,0 +1,244 @@
+"""Has this key been seen before? Quotient filters over a feed.
+
+A key's fingerprint of ``q + r`` bits is split into a quotient, which is a slot number, and a remainder of
+``r`` bits, which is what the slot stores. Three bits a slot (occupied, continuation, shifted) tell
+which run a displaced remainder belongs to, so a filter needs about ``(r + 3) / load`` bits a key.
+Filters whose entries are sorted merge by one linear pass.
+
+``screen`` answers for every delivery of a feed. Fingerprint space is cut into shards by its leading bits. The
+feed is cut into epochs by order of arrival, and before any shuffle each task reduces its deliveries
+to one row per epoch and fingerprint; a key with a third of all rows therefore costs a shard a few rows.
+Each shard then goes through the epochs in order: it probes its filter, flags, and merges the epoch's own
+filter into it. A filter never misses a seen key; how often it flags a new one is derived and counted, and
+``exact`` takes those wrong answers out again, looking only at fingerprints that two keys share.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.columns import col
+from millrace.functions.joins import join_measured
+from millrace.sources import workspace
+
+#: Largest share of slots in use, remainder bits by default, log2 of the slots of one shard.
+LOAD, REMAINDER_BITS, SHARD_BITS = 0.75, 10, 17
+EPOCHS = 8
+
+
+class QuotientFilter:
+    """A static quotient filter over ``q_bits + r_bits`` fingerprints, built from sorted ones, merged with others."""
+
+    def __init__(self, prints: np.ndarray, q_bits: int, r_bits: int):
+        """``prints``: distinct fingerprints below ``2 ** (q_bits + r_bits)``, ascending (int64)."""
+        self.q_bits, self.r_bits, self.n = q_bits, r_bits, len(prints)
+        quotient = prints >> r_bits
+        # an entry takes its own slot or the first one after the entry before it
+        order = np.arange(self.n)
+        slot = np.maximum.accumulate(quotient - order) + order if self.n else order
+        self.slots = max(1 << q_bits, int(slot[-1]) + 1 if self.n else 0)
+        kind = np.uint16 if r_bits <= 16 else np.uint32
+        self.remainders = np.zeros(self.slots, kind)
+        self.remainders[slot] = prints & ((1 << r_bits) - 1)
+        occupied, continuation, shifted = (np.zeros(self.slots, bool) for _ in range(3))
+        occupied[quotient] = True
+        continuation[slot[1:]] = quotient[1:] == quotient[:-1]
+        shifted[slot] = slot != quotient
+        self.occupied, self.continuation, self.shifted = map(np.packbits, (occupied, continuation, shifted))
+
+    def _bits(self, packed: np.ndarray) -> np.ndarray:
+        return np.unpackbits(packed, count=self.slots).view(bool)
+
+    @property
+    def n_bytes(self) -> int:
+        """What the filter takes, remainders counted at their ``r_bits``."""
+        return self.slots * (self.r_bits + 3) // 8
+
+    def fingerprints(self) -> np.ndarray:
+        """All fingerprints, ascending: the filter is lossless, which is why filters can be merged and resized."""
+        occupied, continuation, shifted = map(self._bits, (self.occupied, self.continuation, self.shifted))
+        used = occupied | continuation | shifted
+        starts = used & ~continuation
+        run = np.cumsum(starts[used]) - 1
+        return (np.flatnonzero(occupied)[run].astype(np.int64) << self.r_bits) | self.remainders[used].astype(np.int64)
+
+    def contains(self, prints: np.ndarray) -> np.ndarray:
+        """For each fingerprint whether the filter holds it; finds the run of its quotient and searches the remainder."""
+        if not self.n or not len(prints):
+            return np.zeros(len(prints), bool)
+        occupied, continuation, shifted = map(self._bits, (self.occupied, self.continuation, self.shifted))
+        quotient, remainder = prints >> self.r_bits, prints & ((1 << self.r_bits) - 1)
+        used = occupied | continuation | shifted
+        starts = np.append(np.flatnonzero(used & ~continuation), self.slots)
+        nth = np.cumsum(occupied)[quotient] - 1
+        found = np.zeros(len(prints), bool)
+        todo = np.flatnonzero(occupied[quotient])
+        at = starts[nth[todo]]
+        while len(todo):
+            hit = self.remainders[at] == remainder[todo]
+            found[todo[hit]] = True
+            at = at + 1
+            go = ~hit & (at < self.slots)
+            go[go] = continuation[at[go]]
+            todo, at = todo[go], at[go]
+        return found
+
+    def merge(self, other: QuotientFilter) -> QuotientFilter:
+        """The union, by a linear merge of both sorted sequences of fingerprints."""
+        if (self.q_bits, self.r_bits) != (other.q_bits, other.r_bits):
+            raise ValueError("only filters of one shape can be merged")
+        a, b = self.fingerprints(), other.fingerprints()
+        both = np.empty(len(a) + len(b), np.int64)
+        place = np.searchsorted(a, b) + np.arange(len(b))
+        rest = np.ones(len(both), bool)
+        rest[place] = False
+        both[place], both[rest] = b, a
+        return QuotientFilter(both[np.append(True, both[1:] != both[:-1])] if len(both) else both, self.q_bits, self.r_bits)
+
+
+@dataclass
+class Screen:
+    """What ``screen`` found. ``news`` holds the deliveries that the filter calls new, one row each; all others are flagged."""
+
+    feed: DataFrame
+    known: DataFrame
+    key: str
+    time: str
+    id: str
+    prints: DataFrame
+    probes: DataFrame
+    q_bits: int
+    r_bits: int
+    shard_bits: int
+
+    @property
+    def news(self) -> DataFrame:
+        return self.probes.filter("epoch >= 0 and not seen").select(F.col("first_id").alias(self.id))
+
+
+def fingerprint(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def _probe(pdf: pd.DataFrame, q_bits: int, r_bits: int) -> pd.DataFrame:
+    """One shard: its epochs in order, each probed against the filter of all before it and then merged in."""
+    pdf = pdf.sort_values(["epoch", "fp"], ignore_index=True)
+    own = pdf["fp"].to_numpy() & ((1 << (q_bits + r_bits)) - 1)
+    epoch = pdf["epoch"].to_numpy()
+    seen = np.zeros(len(pdf), bool)
+    held = QuotientFilter(own[:0], q_bits, r_bits)
+    size = np.zeros(len(pdf), np.int64)
+    cuts = [0, *np.flatnonzero(np.diff(epoch)) + 1, len(pdf)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        seen[a:b] = held.contains(own[a:b])
+        held = held.merge(QuotientFilter(own[a:b], q_bits, r_bits))
+    if len(size):
+        size[0] = held.n_bytes
+    return pd.DataFrame({"fp": pdf["fp"], "epoch": epoch, "first_id": pdf["first_id"], "seen": seen, "filter_bytes": size})
+
+
+def screen(feed: DataFrame, known: DataFrame, key: str, time: str, id: str, *, r_bits: int = REMAINDER_BITS, epochs: int = EPOCHS) -> Screen:
+    """Answer, for every delivery in the order of (``time``, ``id``), whether its key occurred before or is in ``known``.
+
+    ``id`` must be unique. A delivery with a null key is never called seen, nor does it make one so. One without a
+    time counts as earlier than all with one. ``r_bits`` sets the error: a new key is called
+    seen with a chance of about ``load * 2 ** -r_bits``.
+    """
+    named = feed.select(col(key).alias("k"), col(time).alias("t"), col(id).alias("i")).filter("k is not null")
+    facts = named.agg(
+        F.approx_count_distinct("k", 0.02).alias("n"),
+        F.percentile_approx("t", [i / epochs for i in range(1, epochs)], 1000).alias("cuts") if epochs > 1 else F.array().alias("cuts"),
+    ).first()
+    others = known.select(col(key).alias("k")).filter("k is not null")
+    n = int(facts["n"] * 1.03) + others.count()
+    q = max(6, math.ceil(math.log2(max(1, n) / LOAD)))
+    shard_bits = max(3, q - SHARD_BITS)
+    cuts = [F.lit(c).cast(feed.schema[time].dataType) for c in sorted(set(facts["cuts"] or []))]
+    epoch = sum(((F.col("t") >= c).cast("int") for c in cuts), F.lit(0))
+    named = named.select("k", fingerprint(F.col("k"), q + r_bits).alias("fp"), F.coalesce(epoch, F.lit(0)).alias("epoch"), "t", "i")
+    others = others.select("k", fingerprint(F.col("k"), q + r_bits).alias("fp"), F.lit(-1).alias("epoch"), F.lit(None).cast(named.schema["t"].dataType).alias("t"), F.lit(None).cast(named.schema["i"].dataType).alias("i"))
+    prints = (
+        named.unionByName(others)
+        .groupBy("fp", "epoch")
+        .agg(F.min(F.struct("t", "i"))["i"].alias("first_id"), F.min("k").alias("low"), F.max("k").alias("high"))
+    )
+    prints = workspace.keep(prints, "seen-prints")
+    probes = (
+        prints.select("fp", "epoch", "first_id")
+        .groupBy(F.shiftrightunsigned("fp", q + r_bits - shard_bits).alias("shard"))
+        .applyInPandas(lambda pdf: _probe(pdf, q - shard_bits, r_bits), f"fp long, epoch int, first_id {prints.schema['first_id'].dataType.simpleString()}, seen boolean, filter_bytes long")
+    )
+    return Screen(feed, known, key, time, id, prints, workspace.keep(probes, "seen-probes"), q, r_bits, shard_bits)
+
+
+def flagged(s: Screen) -> DataFrame:
+    """The deliveries that the filter calls seen, whole rows."""
+    return s.feed.filter(col(s.key).isNotNull()).join(s.news, s.id, "left_anti")
+
+
+def wrong(s: Screen) -> DataFrame:
+    """The deliveries that the filter calls seen although their key is new, by ``id``.
+
+    A wrong answer takes two keys with one fingerprint, so only those are looked at key by key.
+    """
+    shared = workspace.keep(s.prints.groupBy("fp").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("fp"), "seen-shared")
+    bits = s.q_bits + s.r_bits
+    rows = s.feed.select(col(s.key).alias("k"), fingerprint(col(s.key), bits).alias("fp"), col(s.time).alias("t"), col(s.id).alias("i")).filter("k is not null")
+    firsts = join_measured(rows, shared, ["fp"], "left_semi").groupBy("k").agg(F.min(F.struct("t", "i"))["i"].alias(s.id))
+    new = firsts.join(s.known.select(col(s.key).alias("k")), "k", "left_anti").select(s.id)
+    return new.join(s.news, s.id, "left_anti")
+
+
+def exact(s: Screen) -> DataFrame:
+    """The deliveries whose key was seen before: what is flagged, less the filter's wrong answers."""
+    new = s.news.unionByName(wrong(s))
+    return s.feed.filter(col(s.key).isNotNull()).join(new, s.id, "left_anti")
+
+
+def error_report(s: Screen) -> DataFrame:
+    """One row: deliveries, flagged and wrong ones, the rate of wrong answers for new keys as counted and as derived,
+    and the memory of all filters in bits per key."""
+    news, bad = s.news.agg(F.count("*").alias("called_new")), wrong(s).agg(F.count("*").alias("n_wrong"))
+    held = s.probes.agg(F.sum("filter_bytes").alias("filter_bytes"), F.count_distinct("fp").alias("n_fingerprints"))
+    total = s.feed.filter(col(s.key).isNotNull()).agg(F.count("*").alias("n_deliveries"))
+    row = total.crossJoin(news).crossJoin(bad).crossJoin(held)  # one row each
+    load = F.col("n_fingerprints") / F.lit(float(1 << s.q_bits))
+    new = F.col("called_new") + F.col("n_wrong")
+    return row.select(
+        "n_deliveries",
+        (F.col("n_deliveries") - F.col("called_new")).alias("n_flagged"),
+        "n_wrong",
+        F.when(new > 0, F.col("n_wrong") / new).alias("wrong_rate"),
+        # averaged over the feed's growth a new key meets half of the final fingerprints
+        (load / 2 / F.lit(float(1 << s.r_bits))).alias("derived_rate"),
+        F.when(F.col("n_fingerprints") > 0, F.col("filter_bytes") * 8.0 / F.col("n_fingerprints")).alias("bits_per_key"),
+    )
+
+
+def bloom_holds(key: Column, bloom: Column, n_bits: Column, hashes: int = 7) -> Column:
+    """Whether a Bloom filter may hold the key; null if the filter is missing, shorter than its bits or has none.
+
+    Bit ``b`` is in byte ``b div 8`` with weight ``2 ** (b mod 8)``; the key sets ``(h1 + i * h2) mod n_bits`` with
+    ``h1`` and ``h2`` the first and second eight hex digits of its MD5.
+    """
+    digest = F.md5(key)
+    h1, h2 = (F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (1, 9))
+    usable = (n_bits > 0) & (F.octet_length(bloom) * 8 >= n_bits)
+    hexed = F.hex(bloom)
+
+    def bit(i: int) -> Column:
+        b = F.pmod(h1 + F.lit(i) * h2, n_bits)
+        byte = F.conv(F.substring(hexed, (F.floor(b / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.expr("true") if b is None else (F.call_function("getbit", byte.cast("long"), F.pmod(b, F.lit(8)).cast("int")) == 1)
+
+    every = bit(0)
+    for i in range(1, hashes):
+        every = every & bit(i)
+    return F.when(usable, every)
