@@ -20,7 +20,7 @@ from millrace.functions.joins import join_measured
 from millrace.sources import workspace
 from millrace.sources.files import Files
 
-#: Levels of the dyadic tree over segment numbers: enough for 2**40 segments.
+#: Segment numbers lie below 2 ** LEVELS.
 LEVELS = 40
 
 
@@ -43,16 +43,21 @@ def manifest(runs: DataFrame, segments: DataFrame) -> DataFrame:
     (runs + segments) x levels, whatever the ranges are, and no run is expanded into its segments. ``segments`` must
     not be negative.
     """
+    # no block above the last segment's highest bit can matter; a range that ends beyond it is cut there
+    last = segments.agg(F.max("wal_segment")).first()[0]
+    levels = int(last or 0).bit_length()
     # an aligned block of 2**k segments belongs to a range if the range holds it but not all of its parent
-    k = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k")
+    k = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k")
     first = F.expr("shiftright(low + shiftleft(1L, k) - 1, k)")
     end = F.expr("shiftright(high, k)")
     odd_first = F.when((first % 2 == 1) & (first < end), first)
     odd_last = F.when((end % 2 == 1) & (first < end), end - 1)
-    blocks = successful(runs).select("*", k).select("k", "started_at", F.explode(F.array_distinct(F.array(odd_first, odd_last))).alias("block")).dropna()
+    ranges = successful(runs).withColumn("high", F.least("high", F.lit(1 << levels)))
+    blocks = ranges.select("*", k).select("k", "started_at", F.explode(F.array_distinct(F.array(odd_first, odd_last))).alias("block")).dropna()
     blocks = blocks.groupBy("k", "block").agg(F.max("started_at").alias("started_at"))
     above = segments.select("wal_segment", k).withColumn("block", F.expr("shiftright(wal_segment, k)"))
-    return above.join(blocks, ["k", "block"]).groupBy("wal_segment").agg(F.max("started_at").alias("taken_until"))
+    # both sides grow with the log, so neither is broadcast
+    return above.join(blocks.hint("merge"), ["k", "block"]).groupBy("wal_segment").agg(F.max("started_at").alias("taken_until"))
 
 
 def mark(deliveries: DataFrame, runs: DataFrame) -> DataFrame:
