@@ -155,7 +155,10 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     whole = placed.filter("part = 0").select("path", "level", "in_force", "tiny", "n_parts")
     columns = list(changes.schema.fields)
     own = [f.name for f in columns]
-    rows = changes.select(F.struct(*[F.col(c) for c in own]).alias("rec"), F.coalesce(plain_path(F.col("sst_path")), F.lit("")).alias("path"))
+    path = F.coalesce(plain_path(F.col("sst_path")), F.lit(""))
+    # a path travels once: in the record only where it was spelled in another way
+    kept = [F.when((F.col(c) != path) | (F.col(c) == ""), F.col(c)).alias(c) if c == "sst_path" else F.col(c) for c in own]
+    rows = changes.select(F.struct(*kept).alias("rec"), path.alias("path"))
     rows = join_measured(rows, whole.select("path", "in_force"), ["path"], "left", placed.count())
     name = [F.col("rec.iter_index").alias("i"), F.col("rec.seq").alias("s"), F.when(F.col("rec.iter_index").isNull() | F.col("rec.seq").isNull(), F.col("rec.record_id")).alias("r")]
     rows = rows.groupBy(*name).agg(F.max(F.struct("in_force", "path", "rec")).alias("best")).select("i", "s", "best.path", "best.rec")
@@ -170,6 +173,7 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
         .unionByName(empty)
         .repartition(n, "container_id")
         .sortWithinPartitions("level", "container_id", "path", "part", "rec.iter_index", "rec.seq")
+        .withColumn("rec", F.col("rec").withField("sst_path", F.coalesce("rec.sst_path", F.nullif("path", F.lit("")))))
         .select(*place, "rec.rec_key", _line(columns).alias("line"))
         .mapInPandas(_packed, CONTAINER)
         .write.option("compression", "zstd").parquet(root)
