@@ -32,6 +32,8 @@ LOOSE_LEVEL = "L0"
 RECORD_BYTES = 190
 #: Bytes of records above which a file is packed as several parts, and containers that share a shard.
 PART_BYTES, SHARD_CONTAINERS = 4 << 20, 64
+#: Containers that one task writes on average.
+CONTAINERS_A_TASK = 4
 
 CONTAINER = (
     "level string, container_id long, n_bytes long, n_records long, crc32 long, data binary, members array<struct<"
@@ -167,7 +169,8 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     rows = join_measured(rows, placed.select("path", "part", "container_id"), ["path", "part"], "left", placed.count())
     place = ["level", "container_id", "path", "part", "in_force", "tiny"]
     empty = placed.filter("in_force and part = 0").select(*place, F.lit(None).cast(rows.schema["rec"].dataType).alias("rec"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_containers = placed.select("container_id").distinct().count()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_containers // CONTAINERS_A_TASK)
     (
         rows.select(*place, "rec")
         .unionByName(empty)
