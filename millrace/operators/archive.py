@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.columns import plain_path
+from millrace.functions.columns import col, plain_path
 from millrace.functions.joins import join_measured
 from millrace.sources import workspace
 
@@ -147,7 +147,8 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
 
     Every change, named by (``iter_index``, ``seq``), is packed once however often it was delivered: in its file in
     force if it has one (with several, the greatest path), else with its other file or the loose
-    records at level L0. Rows that miss part of the name count as changes of their own. Every file
+    records at level L0. Rows that miss part of the name are told apart by ``record_id``,
+    or without one by all their columns. Every file
     in force has a member, one of length 0 if no record was delivered for it. Columns that the
     feed has besides stay in the record; its columns must be scalars.
     """
@@ -159,10 +160,11 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     own = [f.name for f in columns]
     path = F.coalesce(plain_path(F.col("sst_path")), F.lit(""))
     # a path travels once: in the record only where it was spelled in another way
-    kept = [F.when((F.col(c) != path) | (F.col(c) == ""), F.col(c)).alias(c) if c == "sst_path" else F.col(c) for c in own]
+    kept = [F.when((col(c) != path) | (col(c) == ""), col(c)).alias(c) if c == "sst_path" else col(c) for c in own]
     rows = changes.select(F.struct(*kept).alias("rec"), path.alias("path"))
     rows = join_measured(rows, whole.select("path", "in_force"), ["path"], "left", placed.count())
-    name = [F.col("rec.iter_index").alias("i"), F.col("rec.seq").alias("s"), F.when(F.col("rec.iter_index").isNull() | F.col("rec.seq").isNull(), F.col("rec.record_id")).alias("r")]
+    nameless = F.col("rec.iter_index").isNull() | F.col("rec.seq").isNull()
+    name = [F.col("rec.iter_index").alias("i"), F.col("rec.seq").alias("s"), F.when(nameless, F.coalesce("rec.record_id", F.xxhash64("rec"))).alias("r")]
     rows = rows.groupBy(*name).agg(F.max(F.struct("in_force", "path", "rec")).alias("best")).select("i", "s", "best.path", "best.rec")
     rows = join_measured(rows, whole, ["path"], "left", placed.count())
     rows = rows.withColumn("part", F.pmod(F.xxhash64("i", "s"), F.col("n_parts")).cast("int"))
@@ -204,7 +206,7 @@ def restore(containers: DataFrame, schema: T.StructType, path: str | None = None
         for pdf in batches:
             for data, members in zip(pdf["data"], pdf["members"], strict=True):
                 for m in members:
-                    if path is not None and m["path"] != path:
+                    if not m["length"] or path is not None and m["path"] != path:
                         continue
                     piece = data[m["offset"] : m["offset"] + m["length"]]
                     if zlib.crc32(piece) != m["crc32"]:

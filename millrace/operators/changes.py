@@ -48,16 +48,16 @@ def newest(changes: DataFrame, key: Sequence[str], order: Sequence[str], tombsto
 class ChangeLog:
     """The runs of one table below ``root``; every state is a version file that lists the live runs."""
 
-    RUN = "run_no"
-
     def __init__(self, spark: SparkSession, root: str, key: str, order: Sequence[str], tombstone: str, *, buckets: int | None = None, fanout: int = 4):
         self.spark, self.root, self.key, self.order, self.tombstone = spark, root.rstrip("/"), key, list(order), tombstone
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.fanout, self.files = fanout, Files(spark)
         self.table = f"changelog_{uuid.uuid4().hex}"
+        self.run = "run_no"
         if state := self._state():
-            self.buckets = state["buckets"]
+            self.buckets, self.run = state["buckets"], state["run"]
             self._register(state["columns"])
+            self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
     # -- versions ---------------------------------------------------------------------------------------
 
@@ -70,9 +70,9 @@ class ChangeLog:
             raise RuntimeError(f"version {state['version']} of {self.root} was committed by another writer; append again")
 
     def _register(self, columns: str) -> None:
-        run = f"{quoted(self.RUN)} INT"
+        run = f"{quoted(self.run)} INT"
         self.spark.sql(
-            f"CREATE TABLE {self.table} ({columns}, {run}) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({quoted(self.RUN)}) "
+            f"CREATE TABLE {self.table} ({columns}, {run}) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({quoted(self.run)}) "
             f"CLUSTERED BY ({quoted(self.key)}) SORTED BY ({quoted(self.key)}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/data'"
         )
 
@@ -83,12 +83,11 @@ class ChangeLog:
 
         Appending a batch again after a failure is harmless. A batch without usable rows adds an empty run.
         """
-        if self.RUN.lower() in {c.lower() for c in changes.columns}:
-            raise ValueError(f"the column name {self.RUN} is taken by the log itself")
         state = self._state()
         if state is None:
             columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in changes.schema.fields)
-            state = {"version": 0, "runs": [], "next": 1, "buckets": self.buckets, "columns": columns, "horizon": None}
+            (self.run,) = fresh(changes, self.run)
+            state = {"version": 0, "runs": [], "next": 1, "buckets": self.buckets, "run": self.run, "columns": columns, "horizon": None}
             self._register(columns)
         if state["horizon"] is not None:
             changes = changes.filter(col(self.order[0]) >= state["horizon"])
@@ -101,13 +100,13 @@ class ChangeLog:
 
     def _write(self, rows: DataFrame, state: dict) -> int:
         # a failed write may have left files under its number: each attempt takes one that nobody used
-        used = [int(n.partition("=")[2]) for n in self.files.names(f"{self.root}/data") if n.startswith(f"{self.RUN}=")]
+        used = [int(n.partition("=")[2]) for n in self.files.names(f"{self.root}/data") if n.startswith(f"{self.run}=")]
         run = max([state["next"] - 1, *used]) + 1
         state["next"] = run + 1
         (
             rows.repartition(self.buckets, col(self.key))
-            .withColumn(self.RUN, F.lit(run))
-            .write.mode("append").format("parquet").partitionBy(self.RUN).bucketBy(self.buckets, self.key).sortBy(self.key)
+            .withColumn(self.run, F.lit(run))
+            .write.mode("append").format("parquet").partitionBy(self.run).bucketBy(self.buckets, self.key).sortBy(self.key)
             .saveAsTable(self.table)
         )
         self.spark.catalog.refreshTable(self.table)
@@ -134,9 +133,9 @@ class ChangeLog:
 
     def vacuum(self) -> None:
         """Delete the files of runs that are no longer live."""
-        live = {f"{self.RUN}={r}" for r in (self._state() or {"runs": []})["runs"]}
+        live = {f"{self.run}={r}" for r in (self._state() or {"runs": []})["runs"]}
         for name in self.files.names(f"{self.root}/data"):
-            if name.startswith(f"{self.RUN}=") and name not in live:
+            if name.startswith(f"{self.run}=") and name not in live:
                 self.files.delete(f"{self.root}/data/{name}")
         if self.spark.catalog.tableExists(self.table):
             self.spark.catalog.refreshTable(self.table)
@@ -145,7 +144,7 @@ class ChangeLog:
 
     def _merged(self, state: dict, where: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         rows = self.spark.table(self.table)
-        rows = rows.filter(F.col(self.RUN).isin(state["runs"]) if state["runs"] else F.lit(False)).drop(self.RUN)
+        rows = rows.filter(F.col(self.run).isin(state["runs"]) if state["runs"] else F.lit(False)).drop(self.run)
         if columns is not None:
             rows = rows.select(*[col(c) for c in columns])
         if where is not None:
@@ -168,6 +167,13 @@ class ChangeLog:
         live = self._merged(state, where, wanted).filter(~col(self.tombstone))
         return live if columns is None else live.select(*[col(c) for c in columns])
 
+    def greatest(self, column: str):
+        """The greatest value of a column over all live runs, or None."""
+        state = self._state()
+        if state is None or not state["runs"]:
+            return None
+        return self.spark.table(self.table).filter(F.col(self.run).isin(state["runs"])).agg(F.max(col(column))).first()[0]
+
     def get(self, key) -> DataFrame:
         """The live row of one key, or none."""
         return self.read(col(self.key) == F.lit(key))

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import col, fresh
 from millrace.functions.joins import join_measured
 from millrace.sources import workspace
 from millrace.sources.files import Files
@@ -61,12 +62,16 @@ def manifest(runs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def mark(deliveries: DataFrame, runs: DataFrame) -> DataFrame:
-    """The deliveries with ``added`` (their segment is new to the manifest) and ``masked`` (a run has taken them)."""
+    """The deliveries with ``added`` (their segment is new to the manifest) and ``masked`` (a run has taken them).
+
+    Both names get an underscore for each column of that name that the deliveries have already.
+    """
     facts = deliveries.select("wal_segment").distinct().filter("wal_segment >= 0")
-    processed = workspace.keep(manifest(runs, workspace.keep(facts, "log-segments")), "processed-manifest")
+    until, added, masked = fresh(deliveries, "taken_until", "added", "masked")
+    processed = workspace.keep(manifest(runs, workspace.keep(facts, "log-segments")).withColumnRenamed("taken_until", until), "processed-manifest")
     rows = join_measured(deliveries, processed, ["wal_segment"], "left")
-    masked = F.coalesce(F.col("arrived_at") <= F.col("taken_until"), F.lit(False))
-    return rows.select(*[F.col(c) for c in deliveries.columns], F.col("taken_until").isNull().alias("added"), masked.alias("masked"))
+    taken = F.coalesce(F.col("arrived_at") <= F.col(until), F.lit(False))
+    return rows.select(*[col(c) for c in deliveries.columns], F.col(until).isNull().alias(added), taken.alias(masked))
 
 
 def delta(changes: DataFrame, runs: DataFrame) -> DataFrame:

@@ -191,8 +191,8 @@ def wrong(s: Screen) -> DataFrame:
     shared = workspace.keep(s.prints.groupBy("fp").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("fp"), "seen-shared")
     bits = s.q_bits + s.r_bits
     rows = s.feed.select(col(s.key).alias("k"), fingerprint(col(s.key), bits).alias("fp"), col(s.time).alias("t"), col(s.id).alias("i")).filter("k is not null")
-    firsts = join_measured(rows, shared, ["fp"], "left_semi").groupBy("k").agg(F.min(F.struct("t", "i"))["i"].alias(s.id))
-    new = firsts.join(s.known.select(col(s.key).alias("k")), "k", "left_anti").select(s.id)
+    firsts = join_measured(rows, shared, ["fp"], "left_semi").groupBy("k").agg(F.min(F.struct("t", "i"))["i"].alias("i"))
+    new = firsts.join(s.known.select(col(s.key).alias("k")), "k", "left_anti").select(F.col("i").alias(s.id))
     return new.join(s.news, s.id, "left_anti")
 
 
@@ -235,8 +235,8 @@ def bloom_holds(key: Column, bloom: Column, n_bits: Column, hashes: int = 7) ->
 
     def bit(i: int) -> Column:
         b = F.pmod(h1 + F.lit(i) * h2, n_bits)
-        byte = F.conv(F.substring(hexed, (F.floor(b / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        return F.expr("true") if b is None else (F.call_function("getbit", byte.cast("long"), F.pmod(b, F.lit(8)).cast("int")) == 1)
+        byte = F.conv(F.substring(hexed, (F.floor(b / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+        return F.call_function("getbit", byte, F.pmod(b, F.lit(8)).cast("int")) == 1
 
     every = bit(0)
     for i in range(1, hashes):

@@ -1,0 +1,111 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators.changes import ChangeLog, apply_feed, newest
+
+SCHEMA = "k string, v string, dead boolean, run long, seq long, at timestamp"
+T0 = datetime(2025, 1, 1)
+
+
+def state(changes):
+    """Brute force: the newest change of each key by (run, seq)."""
+    best = {}
+    for c in changes:
+        if c[0] is None or c[3] is None or c[4] is None:
+            continue
+        rank = (c[3], c[4], bool(c[2]), c[1] is not None, c[1] or "")
+        if c[0] not in best or rank > best[c[0]][0]:
+            best[c[0]] = rank, c
+    return {k: c[1] for k, (_, c) in best.items() if not c[2]}
+
+
+def feed(seed, n=400, keys=20):
+    rng = random.Random(seed)
+    changes = [(f"k{rng.randrange(keys)}", rng.choice(["", "NULL", f"v{i}"]), rng.random() < 0.2, i // 40, i % 40, T0) for i in range(n)]
+    changes += rng.sample(changes, n // 4)
+    rng.shuffle(changes)
+    return [(*c[:5], None if rng.random() < 0.1 else T0 + timedelta(seconds=rng.randrange(1000))) for c in changes]
+
+
+def log_of(spark, root, **kw):
+    return ChangeLog(spark, root, "k", ["run", "seq"], "dead", buckets=3, **kw)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_state_does_not_depend_on_arrival(spark, folder, batches):
+    rows = feed(batches)
+    log = log_of(spark, folder, fanout=3)
+    apply_feed(log, spark.createDataFrame(rows, SCHEMA), "at", batches)
+    assert {r.k: r.v for r in log.read().collect()} == state(rows)
+
+
+def test_reading_merges_runs_without_a_shuffle(spark, folder):
+    log = log_of(spark, folder, fanout=9)
+    for seed in range(2):
+        log.append(spark.createDataFrame(feed(seed), SCHEMA))
+    plan = log.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_compaction_keeps_tombstones_until_a_horizon(spark, folder):
+    log = log_of(spark, folder)
+    log.append(spark.createDataFrame([("a", "x", False, 2, 1, T0), ("b", None, True, 2, 2, T0)], SCHEMA))
+    log.compact()
+    log.append(spark.createDataFrame([("b", "late", False, 1, 1, T0)], SCHEMA))
+    assert {r.k for r in log.read().collect()} == {"a"}
+    log.compact(horizon=3)
+    assert log.merged().count() == 1
+    log.append(spark.createDataFrame([("b", "too late", False, 1, 2, T0), ("c", "new", False, 3, 1, T0)], SCHEMA))
+    assert {r.k for r in log.read().collect()} == {"a", "c"}
+
+
+def test_a_failed_write_leaves_nothing_behind(spark, folder):
+    log = log_of(spark, folder)
+    log.append(spark.createDataFrame([("a", "x", False, 1, 1, T0)], SCHEMA))
+    log._write(newest(spark.createDataFrame([("z", "lost", False, 9, 9, T0)], SCHEMA), ["k"], ["run", "seq"], "dead"), log._state())  # no commit
+    again = log_of(spark, folder)
+    again.append(spark.createDataFrame([("b", "y", False, 1, 2, T0)], SCHEMA))
+    assert {r.k for r in again.read().collect()} == {"a", "b"}
+    again.vacuum()
+    assert {r.k for r in log_of(spark, folder).read().collect()} == {"a", "b"}
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, folder):
+    one, two = log_of(spark, folder), log_of(spark, folder)
+    one.append(spark.createDataFrame([("a", "x", False, 1, 1, T0)], SCHEMA))
+    stale = two._state()
+    one.append(spark.createDataFrame([("b", "x", False, 1, 2, T0)], SCHEMA))
+    with pytest.raises(RuntimeError):
+        two._commit(stale | {"version": stale["version"] + 1})
+
+
+def test_nulls_ties_and_clashing_names(spark, folder):
+    rows = [("a", "1", False, 1, 1, 7), ("a", "2", False, 1, 1, 8), ("a", "1", None, 1, 1, 7), (None, "x", False, 1, 1, 1), ("b", "x", False, None, 1, 1), ("c", None, None, 1, 3, None)]
+    df = spark.createDataFrame(rows, "k string, v string, dead boolean, run long, seq long, run_no long").withColumn("__top", F.lit(1)).withColumn("a.b", F.lit("dot"))
+    log = log_of(spark, folder)
+    log.append(df)
+    got = {r.k: r for r in log.read().collect()}
+    assert set(got) == {"a", "c"} and got["a"].v == "2" and got["a"].run_no == 8 and got["c"]["a.b"] == "dot"
+
+
+def test_empty_feed(spark, folder):
+    log = log_of(spark, folder)
+    apply_feed(log, spark.createDataFrame([], SCHEMA), "at", 3)
+    assert log.read().count() == 0 and log.get("a").count() == 0
+
+
+def test_get_and_scan(spark, folder):
+    log = log_of(spark, folder)
+    log.append(spark.createDataFrame([(k, k, k == "c", 1, i, T0) for i, k in enumerate("abcde")], SCHEMA))
+    assert [r.k for r in log.scan("b", "e").collect()] == ["b", "d"]
+    assert [r.v for r in log.get("e").collect()] == ["e"]
+
+
+def test_hot_key_is_combined_before_the_shuffle(spark, folder):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").cast("string").alias("v"), F.lit(False).alias("dead"), F.lit(1).cast("long").alias("run"), F.col("id").alias("seq"))
+    plan = newest(df, ["k"], ["run", "seq"], "dead")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max") > plan.index("Exchange")  # the tree is printed from its root
+    assert {r.k: r.v for r in newest(df, ["k"], ["run", "seq"], "dead").filter("k = 'hot'").collect()} == {"hot": "29997"}

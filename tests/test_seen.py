@@ -1,0 +1,89 @@
+import hashlib
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.operators import seen
+from millrace.operators.seen import QuotientFilter
+
+T0 = datetime(2025, 1, 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**10 - 1)), st.sets(st.integers(0, 2**10 - 1)), st.integers(1, 9))
+def test_quotient_filter_is_lossless_and_merges(a, b, q):
+    make = lambda s: QuotientFilter(np.array(sorted(s), np.int64), q, 10 - q)
+    fa, fb, every = make(a), make(b), np.arange(2**10)
+    assert set(fa.fingerprints().tolist()) == a
+    assert set(every[fa.contains(every)].tolist()) == a
+    both = fa.merge(fb)
+    assert set(both.fingerprints().tolist()) == a | b and set(every[both.contains(every)].tolist()) == a | b
+
+
+def test_filters_of_two_shapes_do_not_merge():
+    with pytest.raises(ValueError):
+        QuotientFilter(np.array([1]), 4, 4).merge(QuotientFilter(np.array([1]), 5, 3))
+
+
+def brute(rows, known):
+    out, had = set(), set(known)
+    for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2] is not None, r[2] or T0, r[0])):
+        if r[1] in had:
+            out.add(r[0])
+        had.add(r[1])
+    return out
+
+
+@pytest.mark.parametrize("r_bits", [1, 4, 10])
+def test_exact_answer_whatever_the_error(spark, r_bits):
+    rng = random.Random(r_bits)
+    rows = [(i, None if rng.random() < 0.01 else "hot" if rng.random() < 0.3 else f"k{rng.randrange(900)}", None if rng.random() < 0.05 else T0 + timedelta(seconds=rng.randrange(500))) for i in range(2000)]
+    known = [f"k{i}" for i in range(0, 2000, 9)]
+    feed, earlier = spark.createDataFrame(rows, "id long, k string, at timestamp_ntz"), spark.createDataFrame([(k, "x") for k in [*known, None]], "k string, id string")
+    s = seen.screen(feed, earlier, "k", "at", "id", r_bits=r_bits, epochs=4)
+    want = brute(rows, known)
+    assert {r.id for r in seen.exact(s).collect()} == want
+    flagged = {r.id for r in seen.flagged(s).collect()}
+    assert flagged >= want
+    report = seen.error_report(s).first()
+    assert report.n_wrong == len(flagged - want) and report.n_flagged == len(flagged)
+    if r_bits == 1:
+        assert report.n_wrong > 10
+    if r_bits == 10:
+        assert report.bits_per_key < 60
+
+
+def test_error_is_near_the_derived_one(spark):
+    feed = spark.range(40_000).select(F.col("id"), F.concat(F.lit("key-"), "id").alias("k"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).alias("at"))
+    s = seen.screen(feed, spark.createDataFrame([], "k string"), "k", "at", "id", r_bits=4)
+    r = seen.error_report(s).first()
+    assert seen.exact(s).count() == 0
+    assert 0.5 < r.wrong_rate / r.derived_rate < 2
+
+
+def test_empty_and_clashing_names(spark):
+    schema = "i long, fp string, t timestamp, seen string, epoch int, k int"
+    known = spark.createDataFrame([("a", 1)], "fp string, k int")
+    assert seen.exact(seen.screen(spark.createDataFrame([], schema), known, "fp", "t", "i")).count() == 0
+    feed = spark.createDataFrame([(1, "a", T0, "s", 1, 2), (2, "b", T0, None, None, None), (3, "b", T0, None, None, None), (4, "", None, None, None, None)], schema)
+    out = seen.exact(seen.screen(feed, known, "fp", "t", "i"))
+    assert {r.i for r in out.collect()} == {1, 3} and out.columns[0] == "i" and set(out.columns) == set(feed.columns)
+
+
+def test_bloom_format(spark):
+    n, keys = 130, ["users:1", "a", ""]
+    bits = bytearray((n + 7) // 8)
+    for k in keys:
+        d = hashlib.md5(k.encode()).hexdigest()
+        for i in range(7):
+            b = (int(d[:8], 16) + i * int(d[8:16], 16)) % n
+            bits[b // 8] |= 1 << b % 8
+    rows = [(k, bytes(bits), n) for k in [*keys, *[f"other{i}" for i in range(40)]]] + [("x", None, n), ("x", b"", n), ("x", bytes(bits), None), ("x", bytes(bits), 0)]
+    df = spark.createDataFrame(rows, "k string, b binary, n long").withColumn("h", seen.bloom_holds(F.col("k"), F.col("b"), F.col("n")))
+    got = [r.h for r in df.collect()]
+    assert got[:3] == [True] * 3 and sum(map(bool, got[3:43])) < 10 and got[43:] == [None] * 4
