@@ -10,11 +10,16 @@ CLOSED, UNSURE, REMARK, OPEN = "closed", "unsure", "remark", "open"
 # Commands that may stand at the end of a finished file, after its last sentence.
 TRAILERS = ("endinput", "clearpage", "cleardoublepage", "newpage", "pagebreak", "bibliography", "bibliographystyle", "input", "include", "printbibliography", "maketitle", "appendix", "label", "tableofcontents", "fi", "bye", "vfill", "bigskip", "medskip", "smallskip", "par", "noindent", "hfill", "qed")
 
-_TOKEN = re.compile(r"%[^\n]*|\\(begin|end)\s*\{([^{}\n]*)\}|\\([a-zA-Z@]+)\*?|\\.|\$\$?|[{}]", re.S)
+# Environments that a blank line can't lie in, and commands that no other environment can hold.
+FORMULAS = frozenset(x + star for x in ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math", "alignat", "flalign", "split", "cases", "array", "matrix", "pmatrix", "bmatrix") for star in ("", "*"))
+HEADINGS = frozenset(("part", "chapter", "section", "subsection", "subsubsection"))
+
+_TOKEN = re.compile(r"%[^\n]*|\n[ \t]*\n|\\(begin|end)\s*\{([^{}\n]*)\}|\\([a-zA-Z@]+)\*?|\\.|\$\$?|[{}]", re.S)
 _VERBATIM = {"verbatim", "verbatim*", "lstlisting", "comment", "minted"}
 _TRAILER = re.compile(r"\\(?:" + "|".join(TRAILERS) + r")\*?(?:\s*\[[^\[\]]*\])?(?:\s*\{[^{}]*\})*\s*$")
 _COMMENT = re.compile(r"(?:^|(?<=\n))[ \t]*%[^\n]*\s*$")
 _SENTENCE = re.compile(r"""[.?!。！？](?:["'”’»)\]}$]|''|\\\)|\\\]|~?\\(?:cite[tp]?|footnote|label|ref)\*?(?:\[[^\[\]]*\])?\{[^{}]*\})*$""")
+_WORDS = re.compile(r"(?<![\\\w])[^\W\d_]{2,}(?:\s+[^\W\d_]+){2,}")
 _ENV = re.compile(r"\\end\s*\{[^{}\n]+\}$|\\\]$|\$\$$")
 _MARK = re.compile(r"(?:\s*(?:\.\.\.|…|\[\s*(?:\.\.\.|…|truncated|cut|continued|more|abridged|snip(?:ped)?|read more)\s*\]|\((?:truncated|cut|continued|more)\)))+\s*$", re.I)
 _NOTE = re.compile(r"\n[ \t]*%[ \t]*(?:-{2,}|={2,}|\*{2,}|#{2,}|\[)[^\n]*\s*$")
@@ -32,11 +37,12 @@ def structure(text: str) -> tuple[bool, bool, int]:
     doesn't end in one).
 
     Open are environments but ``document``, braces, formulas, a skipped draft, and a preamble without a document.
-    Comments and verbatim text are passed over.
+    Comments and verbatim text are passed over. What a damaged text left open further up doesn't count: a blank line
+    ends formulas and braces, a heading all environments, and whole words with a full stop end a formula between dollars.
     """
     stack: list[str] = []
     depth, math, draft, started, ended, begun = 0, False, 0, False, False, False
-    verbatim, comment = "", -1
+    verbatim, comment, dollar = "", -1, 0
     for m in _TOKEN.finditer(text):
         token = m.group()
         first = token[0]
@@ -68,23 +74,31 @@ def structure(text: str) -> tuple[bool, bool, int]:
                 while stack.pop() != env:
                     pass
             math = False
+        elif first == "\n":
+            depth, math = 0, False
+            stack = [e for e in stack if e not in FORMULAS]
         elif first == "{":
             depth += 1
         elif first == "}":
             depth = max(0, depth - 1)
         elif first == "$":
-            math = not math
+            math, dollar = not math, m.end()
         elif token == "\\[" or token == "\\(":
             math = True
         elif token == "\\]" or token == "\\)":
             math = False
         elif (name := m.group(3)) is not None:
-            if name == "documentclass":
+            if name in HEADINGS:
+                stack.clear()
+                depth, math = 0, False
+            elif name == "documentclass":
                 started = True
             elif name == "iffalse":
                 draft += 1
             elif name == "fi":
                 draft = max(0, draft - 1)
+    if math and _SENTENCE.search(text) and _WORDS.search(text, dollar):
+        math, depth = False, 0
     is_open = bool(stack) or depth > 0 or math or draft > 0 or (started and not begun)
     return ended, is_open, comment
 

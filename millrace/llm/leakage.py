@@ -28,8 +28,9 @@ _WORD = re.compile(r"[^\W_]+")
 
 #: Words in a row that make a hit, hits that make a candidate, and the width of a diagonal in words.
 RUN, HITS, BAND = 3, 2, 16
-#: Share of an item's words that make a passage; share of those that must not be stock phrases.
-SHARE, OWN = 1 / 3, 1 / 2
+#: Share of an item's words that make a passage, share of a passage that may be exchanged words, and share of the rest that
+#: must not be stock phrases.
+SHARE, EXCHANGED, OWN = 1 / 3, 1 / 6, 1 / 2
 #: Candidates that are aligned at once.
 TOGETHER = 128
 #: A run of words in more than this share of the different items (and in more than 3) is a stock phrase.
@@ -223,7 +224,8 @@ def _matches(segment: Segment, items: Items) -> Iterator[tuple[int, int, int, in
             found[pair] = max(found.get(pair, (0, 0)), (total, own))
     for (d, i), (total, own) in found.items():
         n = len(items.words[i])
-        if total >= SHARE * n and own >= OWN * SHARE * n:
+        least = SHARE * (1 - EXCHANGED) * n
+        if total >= least and own >= OWN * least:
             yield int(segment.doc_ids[d]), items.ids[i], total, own, n
 
 
@@ -253,8 +255,8 @@ def stock_phrases(items: DataFrame, id: str = "item_id", text: str = "item_text"
 def search(index: DataFrame, items: DataFrame, id: str = "item_id", text: str = "item_text") -> DataFrame:
     """Passages of the items in the indexed documents: ``doc_id, item_id, n_matched, n_own, n_words``, one row per document and item.
 
-    A document counts if the best alignment with an item holds a third or more of the item's words, half of that third being
-    its own and no stock phrase. Items with a null id or text, or with fewer than three words, match nothing; of items
+    A document counts if its best alignment with an item makes a passage of ``SHARE`` of the item's words, of which up to
+    ``EXCHANGED`` may be others, and ``OWN`` of the rest are the item's own and no stock phrase. Items with a null id or text, or with fewer than three words, match nothing; of items
     with one id each counts by itself. The items pass in blocks of ``BLOCK_ITEMS`` and ``BLOCK_BYTES`` at most, so what is
     broadcast is bounded however many there are.
     """
