@@ -25,8 +25,9 @@ from millrace.functions.joins import join_measured
 from millrace.llm.endings import CLOSED, OPEN, REMARK, UNSURE, ending, without_mark
 from millrace.sources import workspace
 
-#: Log odds that an ending gives to a cut; a closed end outweighs any length.
-WEIGHT = {OPEN: 6.0, UNSURE: 1.0, REMARK: 0.0, CLOSED: -12.0}
+#: Log odds that an ending gives to a cut. A closed end outweighs any length; remarks after the end are far more common
+#: than cuts within a comment, so one takes a length at which hardly any text is whole.
+WEIGHT = {OPEN: 6.0, UNSURE: 1.0, REMARK: -4.0, CLOSED: -12.0}
 #: Log odds of an ellipsis added at the end, for an ending that isn't closed by ``\end{document}``.
 MARKED = 12.0
 #: Prior probability that any one text was cut, that any one length is a limit, and that a source has a limit at its greatest length.
@@ -127,7 +128,9 @@ def limits(feats: DataFrame) -> DataFrame:
     factor = F.when(F.col("n") > expected, F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)).otherwise(0.0)
     odds = F.lit(math.log(LIMIT_PRIOR / (1 - LIMIT_PRIOR))) + F.least(factor, F.lit(60.0))
     spike = F.when(F.col("n") >= FEWEST, (1 - expected / F.greatest(F.col("n"), expected)) / (1 + F.exp(-odds))).otherwise(0.0)
-    at_top = F.when(F.col("len") >= F.col("top") - BACK, F.col("top_posterior")).otherwise(0.0)
+    # below the top a single text may well be whole, so there too it takes several of one length
+    near_top = (F.col("len") == F.col("top")) | (F.col("len") >= F.col("top") - BACK) & (F.col("n") >= FEWEST)
+    at_top = F.when(near_top, F.col("top_posterior")).otherwise(0.0)
     out = exact.join(workspace.keep(laws, "length-laws"), key).withColumn("posterior", F.greatest(spike, at_top))
     return out.select(*key, "len", "n", "posterior").filter(F.col("posterior") > LEAST)
 
