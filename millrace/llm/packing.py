@@ -119,7 +119,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, id: str = "doc_id", tex
     spans = spans.join(slots, "length").filter("first_rank < end and last_rank >= offset").groupBy("length", "bucket", "offset").agg(F.sort_array(F.collect_list(F.struct("first_rank", "last_rank", "first_sequence", "start"))).alias("slots"))
     in_bucket = Window.partitionBy("length", "bucket").orderBy("id")
     ranked = items.filter("length > 0").withColumn("nth", F.row_number().over(in_bucket) - 1)
-    placed = ranked.join(spans, ["length", "bucket"]).withColumn("rank", F.col("offset") + F.col("nth"))
+    # both sides lie by length and bucket already, so merging them moves only the spans
+    placed = ranked.join(spans.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("offset") + F.col("nth"))
     slot = F.filter("slots", lambda s: (s["first_rank"] <= F.col("rank")) & (s["last_rank"] >= F.col("rank")))[0]
     placed = placed.withColumn("slot", slot)
     rest = placed.select("id", F.col("full").alias("piece"), F.col("length").alias("n_tokens"), (F.col("slot.first_sequence") + F.col("rank") - F.col("slot.first_rank")).alias("sequence_id"), F.col("slot.start").alias("start"))
