@@ -2,8 +2,9 @@
 
 A ``ChangeLog`` holds sorted runs. ``append`` reduces a batch of changes to the newest one per key and
 writes it as one more run, hashed into buckets by key and sorted by key within them. ``read`` merges
-all live runs: since every run is bucketed alike, the merge needs no shuffle. ``compact`` rewrites the
-runs as one; ``append`` does so by itself when ``fanout`` runs have gathered.
+all live runs: since every run is bucketed alike, the merge needs no shuffle. Compaction is tiered: when ``fanout``
+runs have gathered on a level they are merged into one run of the next, so a change is rewritten once per level
+and not once per ``fanout`` appends; ``compact`` merges all there is.
 
 What counts is the order columns alone, never the order of arrival, so repeated and late deliveries
 change nothing. Tombstones outlive compaction, or a late older change would bring a deleted key back; with a
@@ -92,12 +93,25 @@ class ChangeLog:
         if state["horizon"] is not None:
             changes = changes.filter(col(self.order[0]) >= state["horizon"])
         run = self._write(newest(changes, [self.key], self.order, self.tombstone), state)
-        state |= {"version": state["version"] + 1, "runs": [*state["runs"], run]}
+        state |= {"version": state["version"] + 1, "runs": [*state["runs"], [run, 0]]}
         self._commit(state)
-        if len(state["runs"]) >= self.fanout:
-            return self.compact()
+        level = 0
+        while len(full := [r for r in state["runs"] if r[1] == level]) >= self.fanout:
+            state = self._merge(state, full, level + 1)
+            level += 1
         return state["version"]
 
+    def _merge(self, state: dict, runs: list[list[int]], level: int) -> dict:
+        """Merge some runs into one. What counts is the order columns, so any set of runs may be merged, and without a
+        horizon tombstones stay."""
+        rows = self._merged(state | {"runs": runs})
+        if state["horizon"] is not None and len(runs) == len(state["runs"]):
+            rows = rows.filter(~col(self.tombstone) | (col(self.order[0]) >= state["horizon"]))
+        run = self._write(rows, state)
+        state = state | {"version": state["version"] + 1, "runs": [*[r for r in state["runs"] if r not in runs], [run, level]]}
+        self._commit(state)
+        return state
+
     def _write(self, rows: DataFrame, state: dict) -> int:
         # a failed write may have left files under its number: each attempt takes one that nobody used
         used = [int(n.partition("=")[2]) for n in self.files.names(f"{self.root}/data") if n.startswith(f"{self.run}=")]
@@ -123,17 +137,11 @@ class ChangeLog:
             return 0
         if horizon is not None:
             state["horizon"] = max(horizon, state["horizon"] if state["horizon"] is not None else horizon)
-        rows = self._merged(state)
-        if state["horizon"] is not None:
-            rows = rows.filter(~col(self.tombstone) | (col(self.order[0]) >= state["horizon"]))
-        run = self._write(rows, state)
-        state |= {"version": state["version"] + 1, "runs": [run]}
-        self._commit(state)
-        return state["version"]
+        return self._merge(state, state["runs"], max([level for _, level in state["runs"]], default=0))["version"]
 
     def vacuum(self) -> None:
         """Delete the files of runs that are no longer live."""
-        live = {f"{self.run}={r}" for r in (self._state() or {"runs": []})["runs"]}
+        live = {f"{self.run}={r}" for r, _ in (self._state() or {"runs": []})["runs"]}
         for name in self.files.names(f"{self.root}/data"):
             if name.startswith(f"{self.run}=") and name not in live:
                 self.files.delete(f"{self.root}/data/{name}")
@@ -142,9 +150,12 @@ class ChangeLog:
 
     # -- reading ----------------------------------------------------------------------------------------
 
+    def _live(self, state: dict) -> Column:
+        return F.col(self.run).isin([r for r, _ in state["runs"]]) if state["runs"] else F.lit(False)
+
     def _merged(self, state: dict, where: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         rows = self.spark.table(self.table)
-        rows = rows.filter(F.col(self.run).isin(state["runs"]) if state["runs"] else F.lit(False)).drop(self.run)
+        rows = rows.filter(self._live(state)).drop(self.run)
         if columns is not None:
             rows = rows.select(*[col(c) for c in columns])
         if where is not None:
@@ -172,7 +183,7 @@ class ChangeLog:
         state = self._state()
         if state is None or not state["runs"]:
             return None
-        return self.spark.table(self.table).filter(F.col(self.run).isin(state["runs"])).agg(F.max(col(column))).first()[0]
+        return self.spark.table(self.table).filter(self._live(state)).agg(F.max(col(column))).first()[0]
 
     def get(self, key) -> DataFrame:
         """The live row of one key, or none."""

@@ -13,7 +13,7 @@ from millrace.functions.columns import col, fresh, orderable
 from millrace.plans import nodes as n
 from millrace.plans.analyzer import check_select, check_where
 
-_OPS: dict[str, Callable[[Column, Column], Column]] = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+OPS: dict[str, Callable[[Column, Column], Column]] = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
 def kinds_of(rows: DataFrame) -> dict[str, str]:
@@ -26,7 +26,7 @@ def condition(c: n.Condition, value: Callable[[n.Operand], Column]) -> Column:
     if isinstance(c, n.Logical):
         left, right = condition(c.left, value), condition(c.right, value)
         return left & right if c.op == "AND" else left | right
-    return _OPS[c.op](value(c.left), value(c.right))
+    return OPS[c.op](value(c.left), value(c.right))
 
 
 def _row_value(side: n.Operand) -> Column:

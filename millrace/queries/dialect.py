@@ -12,24 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.database import Database
+from millrace.functions import rowtext
 from millrace.operators import kv
+from millrace.operators.changes import newest
+from millrace.plans.parser import parse
 from millrace.queries.tables import table
 from millrace.sources import workspace
 
 #: The unique key of each table that has one of a single column.
 KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey", "events": "event_id", "documents": "doc_id", "block_records": "record_id", "eval_items": "item_id"}
-READ = (*KEYS, "lineitem", "users", "employees")
 
 
-def _attached(spark: SparkSession, d: str) -> Database:
-    db = Database(spark, workspace.place(spark, "database"))
-    for name in READ:
-        db.attach(name, table(spark, d, name), KEYS.get(name))
-    return db
+def _reads(text: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    name = parse(text).table
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        db = Database(spark, workspace.place(spark, "database"))
+        db.attach(name, table(spark, d, name), KEYS.get(name))
+        return db.sql(text, *names)
 
-def _reads(text: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _attached(spark, d).sql(text, *names)
+    return run
 
 
 #: name: (statement of the dialect, names of its columns, SQL)
@@ -237,6 +239,57 @@ _KV = {
     "kv_compact": (kv_compact, "SELECT key, value FROM newest WHERE NOT deleted"),
 }
 
+# -- tables kept as text in the store -----------------------------------------------------------------------
+
+_USERS = {"id": "INT", "username": "TEXT", "age": "INT", "city": "TEXT"}
+
+
+def _live(spark: SparkSession, d: str, *prefixes: str) -> DataFrame:
+    """The live records of the feed whose keys begin so; the rest of the keyspace isn't merged."""
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("rec_key").startswith(p)
+    rows = table(spark, d, "block_records").select("rec_key", "rec_value", "deleted", "iter_index", "seq").filter(wanted)
+    return newest(rows, ["rec_key"], ["iter_index", "seq"], "deleted").filter("not deleted")
+
+
+def store_table(spark: SparkSession, d: str) -> DataFrame:
+    return rowtext.table_rows(_live(spark, d, "users:"), "users", _USERS)
+
+
+def store_group_by(spark: SparkSession, d: str) -> DataFrame:
+    db = Database(spark, workspace.place(spark, "database"))
+    db.attach("users", store_table(spark, d), "id")
+    return db.sql("SELECT city, COUNT(*), MAX(age) FROM users WHERE age >= 18 GROUP BY city HAVING COUNT(*) > 1", "city", "n", "oldest")
+
+
+def store_index_eq(spark: SparkSession, d: str) -> DataFrame:
+    live = _live(spark, d, "users:", rowtext.index_prefix("users", "city"))
+    return rowtext.index_rows(live, "users", "city", "TEXT", "=", "Kestrel: East").select("rec_key", "rec_value")
+
+
+def store_index_range(spark: SparkSession, d: str) -> DataFrame:
+    live = _live(spark, d, "badges:", rowtext.index_prefix("badges", "tier"))
+    return rowtext.index_rows(live, "badges", "tier", "INT", ">=", 400).select("rec_key", "rec_value")
+
+
+_STORE = r"""WITH live AS (
+  SELECT * FROM (SELECT * FROM block_records QUALIFY row_number() OVER (PARTITION BY rec_key ORDER BY iter_index DESC, seq DESC) = 1) WHERE NOT deleted
+), users_kept AS (
+  SELECT CAST(nullif(regexp_extract(rec_value, '(^|\|)id=i:(-?\d+)', 2), '') AS BIGINT) AS id, CASE WHEN regexp_matches(rec_value, '(^|\|)username=t:') THEN regexp_extract(rec_value, '(^|\|)username=t:([^|]*)', 2) END AS username,
+         CAST(nullif(regexp_extract(rec_value, '(^|\|)age=i:(-?\d+)', 2), '') AS BIGINT) AS age, CASE WHEN regexp_matches(rec_value, '(^|\|)city=t:') THEN regexp_extract(rec_value, '(^|\|)city=t:([^|]*)', 2) END AS city
+  FROM live WHERE starts_with(rec_key, 'users:')
+)
+"""
+_BY_INDEX = "SELECT rec_key, rec_value FROM live WHERE starts_with(rec_key, '{0}:') AND rec_key IN (SELECT '{0}:' || split_part(rec_key, ':', -1) FROM live WHERE starts_with(rec_key, '__index__:{0}:{1}:') AND {2})"
+
+_KEPT = {
+    "store_table": (store_table, _STORE + "SELECT * FROM users_kept"),
+    "store_group_by": (store_group_by, _STORE + "SELECT city, count(*) AS n, max(age) AS oldest FROM users_kept WHERE age >= 18 GROUP BY city HAVING count(*) > 1"),
+    "store_index_eq": (store_index_eq, _STORE + _BY_INDEX.format("users", "city", "starts_with(rec_key, '__index__:users:city:Kestrel: East:') AND NOT contains(substr(rec_key, 36), ':')")),
+    "store_index_range": (store_index_range, _STORE + _BY_INDEX.format("badges", "tier", "CAST(split_part(rec_key, ':', 4) AS BIGINT) >= 400")),
+}
+
 _INDEXED = {
     "index_eq": (_indexed("=", 100), "= 100"),
     "index_range_gt": (_indexed(">", 1200), "> 1200"),
@@ -252,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_entries": index_entries,
     **{k: _writes(*statements) for k, (statements, _) in _WRITES.items()},
     **{k: f for k, (f, _) in _KV.items()},
+    **{k: f for k, (f, _) in _KEPT.items()},
 }
 
 SQL: dict[str, str] = {
@@ -261,4 +315,5 @@ SQL: dict[str, str] = {
     "index_entries": "SELECT o_orderstatus, o_orderkey FROM orders",
     **{k: sql for k, (_, sql) in _WRITES.items()},
     **{k: _VERSIONS + sql for k, (_, sql) in _KV.items()},
+    **{k: sql for k, (_, sql) in _KEPT.items()},
 }

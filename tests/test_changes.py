@@ -62,6 +62,19 @@ def test_compaction_keeps_tombstones_until_a_horizon(spark, folder):
     assert {r.k for r in log.read().collect()} == {"a", "c"}
 
 
+def test_tiers(spark, folder):
+    log, rows = log_of(spark, folder, fanout=2), []
+    for i in range(7):
+        part = [(f"k{j}", f"{i}.{j}", (i + j) % 5 == 0, i if j % 2 else -i, j, T0) for j in range(6)]
+        rows += part
+        log.append(spark.createDataFrame(part, SCHEMA))
+    assert sorted(level for _, level in log._state()["runs"]) == [0, 1, 2]
+    assert {r.k: r.v for r in log.read().collect()} == state(rows)
+    log.compact()
+    log.vacuum()
+    assert len(log._state()["runs"]) == 1 and {r.k: r.v for r in log_of(spark, folder).read().collect()} == state(rows)
+
+
 def test_a_failed_write_leaves_nothing_behind(spark, folder):
     log = log_of(spark, folder)
     log.append(spark.createDataFrame([("a", "x", False, 1, 1, T0)], SCHEMA))
