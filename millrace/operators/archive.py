@@ -7,7 +7,7 @@ CRC-32, so one file is read back by one slice, and all of them in parallel.
 
 Planning needs no record: sizes come from one narrow aggregation per file, files are dealt into shards
 by hash, and a running sum within each shard cuts the containers. A shard holds a bounded number of
-containers, so no window ever spans a level, and no level ends with more than one unfilled container a shard.
+containers, so no window ever spans a level, and a level ends with at most one unfilled container a shard.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ TINY = 4096
 LOOSE_LEVEL = "L0"
 #: Bytes around the key and the value of one record; only the plan uses it.
 RECORD_BYTES = 190
-#: Bytes of records above which a file is packed as several parts, and containers that share a shard.
-PART_BYTES, SHARD_CONTAINERS = 4 << 20, 64
+#: Containers that share a shard.
+SHARD_CONTAINERS = 64
 #: Containers that one task writes on average.
 CONTAINERS_A_TASK = 4
 
@@ -112,34 +112,34 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def plan(changes: DataFrame, files: DataFrame, target: int) -> DataFrame:
-    """Where each file's records go: ``path, part, n_parts, level, container_id, in_force, tiny``.
+    """Where each file's records go: ``path, level, in_force, tiny, n_parts, container_id``, one row per file.
 
-    A file whose records exceed ``PART_BYTES`` is split into parts by hash, so that no file, nor the loose
-    records (path null in the feed), makes one huge member.
+    A file whose records exceed ``target`` is split by hash into parts that each fill a container of their own (its
+    ``container_id`` is null), so that no file, nor the loose records (path null in the feed), makes one huge member.
     """
     bytes_of = F.coalesce(F.octet_length("rec_key"), F.lit(0)) + F.coalesce(F.octet_length("rec_value"), F.lit(0)) + RECORD_BYTES
     held = changes.groupBy(F.coalesce(plain_path(F.col("sst_path")), F.lit("")).alias("path")).agg(F.sum(bytes_of).alias("bytes"))
-    known = files.select(F.col("sst_path").alias("path"), "sst_level", "in_force", "tiny", F.lit(True).alias("logged"))
-    all_files = held.join(known, "path", "full_outer").filter(F.col("bytes").isNotNull() | F.col("in_force"))
-    parts = (
-        all_files.select(
+    known = files.select(F.col("sst_path").alias("path"), "sst_level", "in_force", "tiny")
+    sized = (
+        held.join(known, "path", "full_outer")
+        .filter(F.col("bytes").isNotNull() | F.col("in_force"))
+        .select(
             "path",
             F.coalesce(F.when(F.col("in_force"), F.col("sst_level")), F.lit(LOOSE_LEVEL)).alias("level"),
             F.coalesce("in_force", F.lit(False)).alias("in_force"),
             F.coalesce("tiny", F.lit(False)).alias("tiny"),
             F.coalesce("bytes", F.lit(0)).alias("bytes"),
         )
-        .withColumn("n_parts", F.greatest(F.ceil(F.col("bytes") / PART_BYTES), F.lit(1)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-        .withColumn("bytes", (F.col("bytes") / F.col("n_parts")).cast("long"))
+        .withColumn("n_parts", F.greatest(F.ceil(F.col("bytes") / target), F.lit(1)))
     )
-    parts = workspace.keep(parts, "archive-parts")
-    # numbered in the order of level: a container's number is unique over all levels
-    shards = parts.groupBy("level").agg(F.greatest(F.ceil(F.sum("bytes") / (target * SHARD_CONTAINERS)), F.lit(1)).alias("n_shards"))
-    dealt = parts.join(shards, "level").withColumn("shard", F.pmod(F.xxhash64("path", "part"), F.col("n_shards")))
-    before = Window.partitionBy("level", "shard").orderBy("path", "part").rowsBetween(Window.unboundedPreceding, -1)
-    nth = (F.coalesce(F.sum("bytes").over(before), F.lit(0)) / target).cast("long")
-    return dealt.withColumn("container_id", F.xxhash64("level", "shard", nth)).drop("shard", "n_shards", "bytes")
+    sized = workspace.keep(sized, "archive-files")
+    small = F.when(F.col("n_parts") == 1, F.col("bytes")).otherwise(0)
+    shards = sized.groupBy("level").agg(F.greatest(F.ceil(F.sum(small) / (target * SHARD_CONTAINERS)), F.lit(1)).alias("n_shards"))
+    dealt = sized.withColumn("small", small).join(F.broadcast(shards), "level").withColumn("shard", F.pmod(F.xxhash64("path"), F.col("n_shards")))
+    before = Window.partitionBy("level", "shard").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    nth = (F.coalesce(F.sum("small").over(before), F.lit(0)) / target).cast("long")
+    shared = F.when(F.col("n_parts") == 1, F.xxhash64("level", "shard", nth))
+    return dealt.select("path", "level", "in_force", "tiny", "n_parts", shared.alias("container_id"))
 
 
 def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8 << 20, tiny: int = TINY) -> DataFrame:
@@ -151,28 +151,28 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     or without one by all their columns. Every file
     in force has a member, one of length 0 if no record was delivered for it. Columns that the
     feed has besides stay in the record; its columns must be scalars.
+
+    Whole records cross two shuffles: by their name, to drop repeated deliveries, and by their container.
     """
     spark = changes.sparkSession
-    files = workspace.keep(files_in_force(manifest, tiny), "archive-files")
-    placed = workspace.keep(plan(changes, files, target), "archive-plan")
-    whole = placed.filter("part = 0").select("path", "level", "in_force", "tiny", "n_parts")
+    placed = workspace.keep(plan(changes, files_in_force(manifest, tiny), target), "archive-plan")
     columns = list(changes.schema.fields)
-    own = [f.name for f in columns]
     path = F.coalesce(plain_path(F.col("sst_path")), F.lit(""))
     # a path travels once: in the record only where it was spelled in another way
-    kept = [F.when((col(c) != path) | (col(c) == ""), col(c)).alias(c) if c == "sst_path" else col(c) for c in own]
-    rows = changes.select(F.struct(*kept).alias("rec"), path.alias("path"))
-    rows = join_measured(rows, whole.select("path", "in_force"), ["path"], "left", placed.count())
+    kept = [F.when((col(f.name) != path) | (col(f.name) == ""), col(f.name)).alias(f.name) if f.name == "sst_path" else col(f.name) for f in columns]
+    rows = join_measured(changes.select(F.struct(*kept).alias("rec"), path.alias("path")), placed, ["path"], "left")
     nameless = F.col("rec.iter_index").isNull() | F.col("rec.seq").isNull()
     name = [F.col("rec.iter_index").alias("i"), F.col("rec.seq").alias("s"), F.when(nameless, F.coalesce("rec.record_id", F.xxhash64("rec"))).alias("r")]
-    rows = rows.groupBy(*name).agg(F.max(F.struct("in_force", "path", "rec")).alias("best")).select("i", "s", "best.path", "best.rec")
-    rows = join_measured(rows, whole, ["path"], "left", placed.count())
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("i", "s"), F.col("n_parts")).cast("int"))
-    rows = join_measured(rows, placed.select("path", "part", "container_id"), ["path", "part"], "left", placed.count())
+    best = F.max(F.struct("in_force", "path", "level", "tiny", "n_parts", "container_id", "rec")).alias("b")
+    rows = rows.groupBy(*name).agg(best).select("b.*", F.pmod(F.xxhash64("i", "s", "r"), F.col("b.n_parts")).cast("int").alias("part"))
+    rows = rows.withColumn("container_id", F.coalesce("container_id", F.xxhash64("level", "path", "part")))
     place = ["level", "container_id", "path", "part", "in_force", "tiny"]
-    empty = placed.filter("in_force and part = 0").select(*place, F.lit(None).cast(rows.schema["rec"].dataType).alias("rec"))
-    n_containers = placed.select("container_id").distinct().count()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_containers // CONTAINERS_A_TASK)
+    # the first part of every file in force is there even without records
+    empty = placed.filter("in_force").select(
+        "level", F.coalesce("container_id", F.xxhash64("level", "path", F.lit(0))).alias("container_id"), "path", F.lit(0).alias("part"), "in_force", "tiny", F.lit(None).cast(rows.schema["rec"].dataType).alias("rec")
+    )
+    counts = placed.agg(F.count_distinct("container_id").alias("shared"), F.coalesce(F.sum(F.when(F.col("n_parts") > 1, F.col("n_parts"))), F.lit(0)).alias("own")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (counts["shared"] + counts["own"]) // CONTAINERS_A_TASK)
     (
         rows.select(*place, "rec")
         .unionByName(empty)
@@ -182,8 +182,8 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
         .select(*place, "rec.rec_key", _line(columns).alias("line"))
         .mapInPandas(_packed, CONTAINER)
         .write.option("compression", "zstd").parquet(root)
-    )
-    return spark.read.schema(T._parse_datatype_string(CONTAINER)).parquet(root)
+    )
+    return spark.read.schema(T.StructType.fromDDL(CONTAINER)).parquet(root)
 
 
 def index(containers: DataFrame) -> DataFrame:
