@@ -113,9 +113,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, id: str = "doc_id", tex
     places, n_packed = plan(histogram, capacity)
     slots = spark.createDataFrame(pd.DataFrame(places, columns=["length", "first_rank", "last_rank", "first_sequence", "start"]), "length int, first_rank long, last_rank long, first_sequence long, start int")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # each rank range of a bucket is matched with the places it overlaps, so that no document meets all places of its length
-    spans = offsets.join(sizes, ["length", "bucket"]).withColumn("end", F.col("offset") + F.col("n"))
+    spans = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("end", F.col("offset") + F.col("n"))
     spans = spans.join(slots, "length").filter("first_rank < end and last_rank >= offset").groupBy("length", "bucket", "offset").agg(F.sort_array(F.collect_list(F.struct("first_rank", "last_rank", "first_sequence", "start"))).alias("slots"))
     in_bucket = Window.partitionBy("length", "bucket").orderBy("id")
     ranked = items.filter("length > 0").withColumn("nth", F.row_number().over(in_bucket) - 1)
