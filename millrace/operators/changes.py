@@ -46,13 +46,24 @@ def newest(changes: DataFrame, key: Sequence[str], order: Sequence[str], tombsto
     return out.select(*[col(c) if c in key else F.col(top)[c].alias(c) for c in changes.columns])
 
 
+#: Bytes of a feed, as its source stores them, for which a log that isn't told otherwise has one bucket.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 50_000
+
+
+def buckets_for(changes: DataFrame) -> int:
+    """Buckets for a log that begins with these changes: as many as shuffle partitions, more if the files behind them ask for it.
+    Sources that can't tell their size report one of some exabytes."""
+    stored = int(str(changes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    stored = stored if stored < 1 << 60 else 0
+    return max(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, stored // BUCKET_BYTES))
+
+
 class ChangeLog:
     """The runs of one table below ``root``; every state is a version file that lists the live runs."""
 
     def __init__(self, spark: SparkSession, root: str, key: str, order: Sequence[str], tombstone: str, *, buckets: int | None = None, fanout: int = 4):
         self.spark, self.root, self.key, self.order, self.tombstone = spark, root.rstrip("/"), key, list(order), tombstone
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.fanout, self.files = fanout, Files(spark)
+        self.buckets, self.fanout, self.files = buckets, fanout, Files(spark)
         self.table = f"changelog_{uuid.uuid4().hex}"
         self.run = "run_no"
         if state := self._state():
@@ -88,6 +99,7 @@ class ChangeLog:
         if state is None:
             columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in changes.schema.fields)
             (self.run,) = fresh(changes, self.run)
+            self.buckets = self.buckets or buckets_for(changes)
             state = {"version": 0, "runs": [], "next": 1, "buckets": self.buckets, "run": self.run, "columns": columns, "horizon": None}
             self._register(columns)
         if state["horizon"] is not None:

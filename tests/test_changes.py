@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import changes
 from millrace.operators.changes import ChangeLog, apply_feed, newest
 
 SCHEMA = "k string, v string, dead boolean, run long, seq long, at timestamp"
@@ -122,3 +123,13 @@ def test_hot_key_is_combined_before_the_shuffle(spark, folder):
     plan = newest(df, ["k"], ["run", "seq"], "dead")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_max") > plan.index("Exchange")  # the tree is printed from its root
     assert {r.k: r.v for r in newest(df, ["k"], ["run", "seq"], "dead").filter("k = 'hot'").collect()} == {"hot": "29997"}
+
+
+def test_buckets_follow_the_size_of_what_is_stored(spark, folder, monkeypatch):
+    df = spark.createDataFrame(feed(1), SCHEMA)
+    assert changes.buckets_for(df) == 4
+    df.write.parquet(folder + "/feed")
+    stored = spark.read.parquet(folder + "/feed")
+    assert changes.buckets_for(stored) == 4
+    monkeypatch.setattr(changes, "BUCKET_BYTES", 1000)
+    assert 4 < changes.buckets_for(stored.filter("run > 3")) < 100
