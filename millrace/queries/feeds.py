@@ -143,6 +143,19 @@ SELECT level, CAST(coalesce(c.n, 0) AS BIGINT) AS n_changes, CAST(coalesce(f.n,
     "p3_found": """SELECT record_id FROM (
   SELECT record_id, rec_key, row_number() OVER (PARTITION BY rec_key ORDER BY arrived_at, record_id) AS nth FROM block_records
 ) WHERE nth > 1 OR rec_key IN (SELECT rec_key FROM known_keys)""",
+    "p3_file_blooms": r"""
+WITH entries AS (
+  SELECT entry_id, bloom, bloom_num_bits AS m, regexp_replace(regexp_replace(regexp_replace(trim(sst_path), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '') AS sst_path
+  FROM sstables WHERE log_action = 'ADD'
+), probes AS (
+  SELECT entry_id, bloom, m, CAST('0x' || substr(md5(rec_key), 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(md5(rec_key), 9, 8) AS BIGINT) AS h2
+  FROM block_records JOIN entries USING (sst_path)
+), answers AS (
+  SELECT entry_id, CASE WHEN m > 0 AND octet_length(bloom) * 8 >= m THEN
+    list_bool_and([get_bit(CAST(bloom AS BIT), CAST((b // 8) * 8 + 7 - b % 8 AS INTEGER)) = 1 FOR b IN [(h1 + i * h2) % m FOR i IN range(7)]]) END AS held
+  FROM probes
+)
+SELECT entry_id, count(*) AS n_records, count(*) FILTER (WHERE NOT held) AS n_denied, count(*) FILTER (WHERE held IS NULL) AS n_unknown FROM answers GROUP BY entry_id""",
     "p4_found": f"""{_ENTRIES}
 SELECT 'block_records' AS ref_source, rec_key AS ref_key FROM judged WHERE missing OR deleted OR late OR undeclared
 UNION ALL

@@ -9,13 +9,15 @@ as every change carries its number.
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.errors import QueryError
 from millrace.functions.columns import col, quoted
-from millrace.operators.changes import ChangeLog, newest
+from millrace.operators.changes import ChangeLog
 from millrace.sources.files import Files
 
 #: Buffered writes at which they become a run.
@@ -23,6 +25,10 @@ FLUSH = 1000
 SEQ, DEAD = "change_no", "is_deleted"
 
 
+def _crc(text: str) -> str:
+    return f"{zlib.crc32(text.encode()):08x}"
+
+
 class KeyedTable:
     """Rows of ``schema`` (its fields are the key ``key`` and the values), of which each key has one."""
 
@@ -38,11 +44,19 @@ class KeyedTable:
     # -- recovery ---------------------------------------------------------------------------------------
 
     def _replay(self) -> None:
-        for name in self.files.names(f"{self.root}/wal"):
-            if name.endswith(".json"):
-                row = json.loads(self.files.read(f"{self.root}/wal/{name}"))
-                self.buffer[row[self.key]] = row
-                self.seq = max(self.seq, row[SEQ])
+        """Take up the write-ahead files. The last may be damaged, as a write that never ended: it is passed over; a damaged one
+        before others is a loss and raises."""
+        names = [n for n in self.files.names(f"{self.root}/wal") if n.endswith(".json")]
+        for name in names:
+            crc, _, text = self.files.read(f"{self.root}/wal/{name}").partition(" ")
+            if crc != _crc(text):
+                if name == names[-1]:
+                    self.files.delete(f"{self.root}/wal/{name}")
+                    return
+                raise QueryError(f"write-ahead file {name} of {self.root} is damaged")
+            row = json.loads(text)
+            self.buffer[row[self.key]] = row
+            self.seq = max(self.seq, row[SEQ])
 
     # -- writing ----------------------------------------------------------------------------------------
 
@@ -50,7 +64,9 @@ class KeyedTable:
         """Set or delete one key. Missing values are null, which only tombstones may have."""
         self.seq += 1
         row = {f.name: row.get(f.name) for f in self.schema} | {SEQ: self.seq, DEAD: dead}
-        self.files.create(f"{self.root}/wal/{self.seq:015d}.json", json.dumps(row))
+        text = json.dumps(row)
+        if not self.files.create(f"{self.root}/wal/{self.seq:015d}.json", f"{_crc(text)} {text}"):
+            raise QueryError(f"another session writes to {self.root}")
         self.buffer[row[self.key]] = row
         if len(self.buffer) >= FLUSH:
             self.flush()
@@ -91,7 +107,9 @@ class KeyedTable:
             return buffered
         if not self.buffer:
             return self.log.merged(where)
-        return newest(self.log.merged(where).unionByName(buffered), [self.key], [SEQ], DEAD)
+        # what is buffered is newer than any run and has at most FLUSH rows, so the log needn't be shuffled to be overlaid
+        older = self.log.merged(where).join(F.broadcast(buffered.select(col(self.key))), self.key, "left_anti")
+        return older.select(*[col(f.name) for f in self.full]).unionByName(buffered)
 
     def read(self, where: Column | None = None) -> DataFrame:
         """The live rows; ``where`` may only look at the key."""

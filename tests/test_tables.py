@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from millrace.database import Database
@@ -43,6 +45,26 @@ def test_buffer_runs_and_their_mix(spark, db, folder, monkeypatch):
     assert not db._open["users"].buffer and len(rows(Database(spark, folder))) == 7
 
 
+def test_damaged_write_ahead_files(spark, db, folder):
+    wal = Path(folder.removeprefix("file://")) / "tables/users/wal"
+    names = sorted(p for p in wal.iterdir() if p.name.endswith(".json"))
+    names[-1].write_text(names[-1].read_text()[:-4])
+    for p in wal.glob(".*.crc"):
+        p.unlink()
+    assert [r[0] for r in rows(Database(spark, folder))] == [1, 2, 3, 4]
+    names[1].write_text("00000000 {}")
+    with pytest.raises(QueryError, match="is damaged"):
+        Database(spark, folder).rows("users")
+
+
+def test_two_sessions_do_not_write_over_each_other(spark, db, folder):
+    other = Database(spark, folder)
+    other.rows("users")
+    other.execute("INSERT INTO users VALUES (6, 'six', 6)")
+    with pytest.raises(QueryError, match="another session"):
+        db.execute("INSERT INTO users VALUES (7, 'seven', 7)")
+
+
 def test_replaying_after_a_flush_that_left_its_files(spark, db, folder):
     t = db._open["users"]
     t.log.append(t._buffered())  # the commit of a flush that then crashed
