@@ -14,6 +14,7 @@ from millrace.plans import nodes as n
 from millrace.plans.analyzer import check_value
 from millrace.plans.compiler import select, where
 from millrace.plans.parser import parse
+from millrace.sources import workspace
 from millrace.sources.catalog import Catalog, IndexSchema, TableSchema
 from millrace.sources.files import Files
 from millrace.sources.tables import KeyedTable
@@ -156,10 +157,11 @@ class Database:
                 raise QueryError(f"unknown column '{c}'")
             check_value(c, schema.kinds[c], v)
         rows = self.rows(s.table)
-        hit = rows.filter(where(rows, s.where))
-        count = hit.count()
-        if count:
-            self._table(schema).write_all(hit.withColumns({c: F.lit(v.value) for c, v in s.changes.items()}))
+        # the table is read once: what it gives is counted and written from there
+        with workspace.borrowed(rows.filter(where(rows, s.where)), "hits") as hit:
+            count = hit.count()
+            if count:
+                self._table(schema).write_all(hit.withColumns({c: F.lit(v.value) for c, v in s.changes.items()}))
         return Result(_counted(count, "updated", self._by_key(s.where, schema)))
 
     def _delete(self, s: n.Delete) -> Result:
@@ -167,10 +169,10 @@ class Database:
         if s.where is None:
             raise QueryError("DELETE without WHERE is not supported")
         rows = self.rows(s.table)
-        hit = rows.filter(where(rows, s.where)).select(col(schema.pk))
-        count = hit.count()
-        if count:
-            self._table(schema).write_all(hit, dead=True)
+        with workspace.borrowed(rows.filter(where(rows, s.where)).select(col(schema.pk)), "hits") as hit:
+            count = hit.count()
+            if count:
+                self._table(schema).write_all(hit, dead=True)
         return Result(_counted(count, "deleted", self._by_key(s.where, schema)))
 
     @staticmethod

@@ -220,25 +220,3 @@ def error_report(s: Screen) -> DataFrame:
         (load / 2 / F.lit(float(1 << s.r_bits))).alias("derived_rate"),
         F.when(F.col("n_fingerprints") > 0, F.col("filter_bytes") * 8.0 / F.col("n_fingerprints")).alias("bits_per_key"),
     )
-
-
-def bloom_holds(key: Column, bloom: Column, n_bits: Column, hashes: int = 7) -> Column:
-    """Whether a Bloom filter may hold the key; null if the filter is missing, shorter than its bits or has none.
-
-    Bit ``b`` is in byte ``b div 8`` with weight ``2 ** (b mod 8)``; the key sets ``(h1 + i * h2) mod n_bits`` with
-    ``h1`` and ``h2`` the first and second eight hex digits of its MD5.
-    """
-    digest = F.md5(key)
-    h1, h2 = (F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (1, 9))
-    usable = (n_bits > 0) & (F.octet_length(bloom) * 8 >= n_bits)
-    hexed = F.hex(bloom)
-
-    def bit(i: int) -> Column:
-        b = F.pmod(h1 + F.lit(i) * h2, n_bits)
-        byte = F.conv(F.substring(hexed, (F.floor(b / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
-        return F.call_function("getbit", byte, F.pmod(b, F.lit(8)).cast("int")) == 1
-
-    every = bit(0)
-    for i in range(1, hashes):
-        every = every & bit(i)
-    return F.when(usable, every)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import archive, changes, incremental, orphans, seen
+from millrace.operators import archive, bloom, changes, incremental, orphans, seen
 from millrace.queries.tables import table
 from millrace.sources import workspace
 
@@ -61,7 +61,7 @@ def p3_file_blooms(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "sstables").filter("log_action = 'ADD'")
     entries = entries.select("entry_id", archive.plain_path(F.col("sst_path")).alias("path"), "bloom", "bloom_num_bits")
     rows = table(spark, d, "block_records").select("rec_key", archive.plain_path(F.col("sst_path")).alias("path"))
-    held = seen.bloom_holds(F.col("rec_key"), F.col("bloom"), F.col("bloom_num_bits"))
+    held = bloom.holds(F.col("rec_key"), F.col("bloom"), F.col("bloom_num_bits"))
     return (
         rows.join(entries, "path")
         .groupBy("entry_id")
@@ -69,6 +69,14 @@ def p3_file_blooms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def bloom_build(spark: SparkSession, d: str) -> DataFrame:
+    """Filters built from the delivered records of each file, by the bits that they set."""
+    built = bloom.build(table(spark, d, "block_records"), "sst_path", "rec_key")
+    ones = F.pandas_udf(lambda s: s.map(lambda b: int.from_bytes(b).bit_count()), "long")
+    ones.func.__annotations__ = {}
+    return built.select("sst_path", "n_keys", "n_bits", ones("bloom").alias("n_set"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(*(table(spark, d, t) for t in ("block_records", "index_schemas", "table_columns")))
 
@@ -88,7 +96,7 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("wal_segment").agg(F.count("*").alias("n_deliveries"), F.count_if(~F.col("masked")).alias("n_new"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_levels, p3_found, p3_error, p3_file_blooms, p4_found, p4_report, p5_found, p5_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_levels, p3_found, p3_error, p3_file_blooms, bloom_build, p4_found, p4_report, p5_found, p5_segments)}
 
 _NEWEST = """SELECT *, row_number() OVER (PARTITION BY rec_key ORDER BY iter_index DESC, seq DESC) AS nth FROM block_records"""
 
@@ -156,6 +164,14 @@ WITH entries AS (
   FROM probes
 )
 SELECT entry_id, count(*) AS n_records, count(*) FILTER (WHERE NOT held) AS n_denied, count(*) FILTER (WHERE held IS NULL) AS n_unknown FROM answers GROUP BY entry_id""",
+    "bloom_build": """
+WITH keys AS (SELECT DISTINCT sst_path, rec_key FROM block_records WHERE sst_path IS NOT NULL),
+sizes AS (SELECT sst_path, count(*) AS n_keys, greatest(count(*) * 10, 64) AS n_bits FROM keys GROUP BY sst_path),
+bits AS (
+  SELECT DISTINCT sst_path, n_keys, n_bits, (CAST('0x' || substr(md5(rec_key), 1, 8) AS BIGINT) + i * CAST('0x' || substr(md5(rec_key), 9, 8) AS BIGINT)) % n_bits AS b
+  FROM keys JOIN sizes USING (sst_path), range(7) AS hashes(i)
+)
+SELECT sst_path, n_keys, n_bits, count(*) AS n_set FROM bits GROUP BY ALL""",
     "p4_found": f"""{_ENTRIES}
 SELECT 'block_records' AS ref_source, rec_key AS ref_key FROM judged WHERE missing OR deleted OR late OR undeclared
 UNION ALL

@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,18 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def borrowed(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``keep`` for the length of a block."""
+    out = keep(df, name)
+    path = _placed[-1]
+    try:
+        yield out
+    finally:
+        Files(df.sparkSession).delete(path)
+        _placed.remove(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the working tables of this process; no DataFrame that reads one may be in use any more."""
     files = Files(spark)

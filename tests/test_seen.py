@@ -1,4 +1,3 @@
-import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -73,17 +72,3 @@ def test_empty_and_clashing_names(spark):
     feed = spark.createDataFrame([(1, "a", T0, "s", 1, 2), (2, "b", T0, None, None, None), (3, "b", T0, None, None, None), (4, "", None, None, None, None)], schema)
     out = seen.exact(seen.screen(feed, known, "fp", "t", "i"))
     assert {r.i for r in out.collect()} == {1, 3} and out.columns[0] == "i" and set(out.columns) == set(feed.columns)
-
-
-def test_bloom_format(spark):
-    n, keys = 130, ["users:1", "a", ""]
-    bits = bytearray((n + 7) // 8)
-    for k in keys:
-        d = hashlib.md5(k.encode()).hexdigest()
-        for i in range(7):
-            b = (int(d[:8], 16) + i * int(d[8:16], 16)) % n
-            bits[b // 8] |= 1 << b % 8
-    rows = [(k, bytes(bits), n) for k in [*keys, *[f"other{i}" for i in range(40)]]] + [("x", None, n), ("x", b"", n), ("x", bytes(bits), None), ("x", bytes(bits), 0)]
-    df = spark.createDataFrame(rows, "k string, b binary, n long").withColumn("h", seen.bloom_holds(F.col("k"), F.col("b"), F.col("n")))
-    got = [r.h for r in df.collect()]
-    assert got[:3] == [True] * 3 and sum(map(bool, got[3:43])) < 10 and got[43:] == [None] * 4
