@@ -60,12 +60,14 @@ def p3_file_blooms(spark: SparkSession, d: str) -> DataFrame:
     that the filter wrongly denies, and those of which it says nothing."""
     entries = table(spark, d, "sstables").filter("log_action = 'ADD'")
     entries = entries.select("entry_id", archive.plain_path(F.col("sst_path")).alias("path"), "bloom", "bloom_num_bits")
-    rows = table(spark, d, "block_records").select("rec_key", archive.plain_path(F.col("sst_path")).alias("path"))
-    held = bloom.holds(F.col("rec_key"), F.col("bloom"), F.col("bloom_num_bits"))
+    h1, h2 = bloom.hashes(F.col("rec_key"))
+    rows = table(spark, d, "block_records").select(h1.alias("h1"), h2.alias("h2"), archive.plain_path(F.col("sst_path")).alias("path"))
+    held = bloom.holds(F.col("h1"), F.col("h2"), F.col("bloom"), F.col("bloom_num_bits"))
     return (
         rows.join(entries, "path")
+        .select("entry_id", held.alias("held"))
         .groupBy("entry_id")
-        .agg(F.count("*").alias("n_records"), F.count_if(~held).alias("n_denied"), F.count_if(held.isNull()).alias("n_unknown"))
+        .agg(F.count("*").alias("n_records"), F.count_if(~F.col("held")).alias("n_denied"), F.count_if(F.col("held").isNull()).alias("n_unknown"))
     )
 
 

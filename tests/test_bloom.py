@@ -19,7 +19,7 @@ def test_format(spark):
     n, keys = 130, ["users:1", "a", ""]
     bits = bits_of(keys, n)
     rows = [(k, bits, n) for k in [*keys, *[f"other{i}" for i in range(40)]]] + [("x", None, n), ("x", b"", n), ("x", bits, None), ("x", bits, 0)]
-    df = spark.createDataFrame(rows, "k string, b binary, n long").withColumn("h", bloom.holds(F.col("k"), F.col("b"), F.col("n")))
+    df = spark.createDataFrame(rows, "k string, b binary, n long").withColumn("h", bloom.holds(*bloom.hashes(F.col("k")), F.col("b"), F.col("n")))
     got = [r.h for r in df.collect()]
     assert got[:3] == [True] * 3 and sum(map(bool, got[3:43])) < 10 and got[43:] == [None] * 4
 
@@ -37,6 +37,6 @@ def test_one_in_a_hundred_other_keys_passes(spark):
     df = spark.range(3000).select(F.lit("f").alias("p"), F.concat(F.lit("key"), "id").alias("k"))
     built = bloom.build(df, "p", "k")
     asked = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("k")).crossJoin(F.broadcast(built))
-    passed = asked.filter(bloom.holds(F.col("k"), F.col("bloom"), F.col("n_bits"))).count()
+    passed = asked.filter(bloom.holds(*bloom.hashes(F.col("k")), F.col("bloom"), F.col("n_bits"))).count()
     assert passed < 400
-    assert df.crossJoin(F.broadcast(built)).filter(~bloom.holds(F.col("k"), F.col("bloom"), F.col("n_bits"))).count() == 0
+    assert df.crossJoin(F.broadcast(built)).filter(~bloom.holds(*bloom.hashes(F.col("k")), F.col("bloom"), F.col("n_bits"))).count() == 0
