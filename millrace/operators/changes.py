@@ -152,7 +152,9 @@ class ChangeLog:
         return self._merge(state, state["runs"], max([level for _, level in state["runs"]], default=0))["version"]
 
     def vacuum(self) -> None:
-        """Delete the files of runs that are no longer live."""
+        """Delete the files of runs that are no longer live, and all version files but the last."""
+        for name in [n for n in self.files.names(f"{self.root}/versions") if n.endswith(".json")][:-1]:
+            self.files.delete(f"{self.root}/versions/{name}")
         live = {f"{self.run}={r}" for r, _ in (self._state() or {"runs": []})["runs"]}
         for name in self.files.names(f"{self.root}/data"):
             if name.startswith(f"{self.run}=") and name not in live:

@@ -11,6 +11,8 @@ failed run leaves nothing behind and a repeated one repeats nothing.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,25 +111,29 @@ class Consumer:
     def changes(self, now: dict[str, list[int]]) -> DataFrame | None:
         """The records that differ between the last processed input version and ``now``, with ``change`` (insert or delete).
 
-        Both map a file's path to its deleted positions. Files that both hold with equal vectors aren't opened.
+        Both map a file's path to its deleted positions. Files that both hold with equal vectors aren't opened; all others are
+        read in one scan and joined with the vectors by file and position, however many files there are.
         """
-        old, parts = self.last()["input"], []
-        for path in sorted({*old, *now}):
-            before, after = old.get(path), now.get(path)
-            if before == after:
-                continue
-            rows = self.spark.read.parquet(path)
-            (at,) = [F.col("_metadata.row_index")]
-            live_before = ~at.isin(before) if before else F.lit(before is not None)
-            live_after = ~at.isin(after) if after else F.lit(after is not None)
-            change = F.when(live_after & ~live_before, "insert").when(live_before & ~live_after, "delete")
-            parts.append(rows.withColumn("change", change).filter("change is not null"))
-        if not parts:
+        old = self.last()["input"]
+        # Spark and Hadoop write one, two or three slashes behind a scheme
+        slashes = "^([^:/]+):/+"
+        names = {re.sub(slashes, r"\1:/", self.files.full(p)): p for p in {*old, *now}}
+        touched = {f: p for f, p in names.items() if old.get(p) != now.get(p)}
+        if not touched:
             return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*sorted(touched.values()))
+        file, place, held, was, stays, m1, m2 = fresh(rows, "file", "place", "held", "was", "stays", "m1", "m2")
+        columns = rows.columns
+        versions = self.spark.createDataFrame([(f, p in old, p in now) for f, p in touched.items()], f"{file} string, {was} boolean, {stays} boolean")
+        masks = [(f, at, v is old) for f, p in touched.items() for v in (old, now) for at in v.get(p) or []]
+        masks = self.spark.createDataFrame(masks, f"{file} string, {place} long, {held} boolean").groupBy(file, place).agg(F.max(held).alias(m1), F.max(~F.col(held)).alias(m2))
+        rows = rows.select(*[col(c) for c in columns], F.regexp_replace("_metadata.file_path", slashes, "$1:/").alias(file), F.col("_metadata.row_index").alias(place))
+        rows = rows.join(versions, file, "left").join(masks, [file, place], "left")
+        before = F.col(was) & ~F.coalesce(F.col(m1), F.lit(False))
+        after = F.col(stays) & ~F.coalesce(F.col(m2), F.lit(False))
+        lost = F.raise_error(F.concat(F.lit("a file was read under a name that the manifest lacks: "), F.col(file))).cast("string")
+        change = F.when(F.col(was).isNull(), lost).when(after & ~before, "insert").when(before & ~after, "delete")
+        return rows.select(*[col(c) for c in columns], change.alias("change")).filter("change is not null")
 
     def run(self, now: dict[str, list[int]], job: Callable[[DataFrame], DataFrame]) -> int:
         """Process what changed up to ``now``; the version then in force. Without changes nothing is committed."""
@@ -136,8 +142,7 @@ class Consumer:
             return state["version"]
         version = state["version"] + 1
         # a folder name of its own for each attempt: a failed one is never mixed with its successor
-        target = workspace.place(self.spark, "attempt").rsplit("-", 1)[1]
-        target = f"{self.root}/out/{version:012d}-{target}"
+        target = f"{self.root}/out/{version:012d}-{uuid.uuid4().hex[:12]}"
         job(rows).write.parquet(target)
         if not self.files.create(f"{self.root}/commits/{version:012d}.json", json.dumps({"version": version, "input": now, "output": target})):
             self.files.delete(target)

@@ -21,6 +21,10 @@ class Files:
     def exists(self, path: str) -> bool:
         return self._fs(path).exists(self._path(path))
 
+    def full(self, path: str) -> str:
+        """The path with its scheme."""
+        return self._fs(path).makeQualified(self._path(path)).toUri().toString()
+
     def names(self, path: str) -> list[str]:
         """Names in a folder, sorted; none if there is no such folder."""
         if not self.exists(path):

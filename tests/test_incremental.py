@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import incremental
 from millrace.operators.incremental import Consumer
+from millrace.sources.files import Files
 
 T0 = datetime(2025, 1, 1)
 FEED = "rec_key string, iter_index long, seq long, wal_segment long, arrived_at timestamp_ntz, masked int, taken_until int"
@@ -62,8 +63,9 @@ def test_nulls_and_empty(spark):
 
 
 def rows(spark, path, values):
-    spark.createDataFrame([(v,) for v in values], "v long").coalesce(1).write.parquet(path)
-    return path
+    spark.createDataFrame([(v, "x") for v in values], "v long, file string").coalesce(1).write.parquet(path)
+    (name,) = [n for n in Files(spark).names(path) if n.endswith(".parquet")]
+    return f"{path}/{name}"
 
 
 def test_consumer_takes_each_record_once_and_survives_failure(spark, folder):
