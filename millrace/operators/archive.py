@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col, plain_path
 from millrace.functions.joins import join_measured
 from millrace.sources import workspace
+from millrace.sources.workers import ship
 
 TINY = 4096
 #: Place of changes that lie in no file in force: still in memory, or their file was removed.
@@ -155,6 +156,7 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     Whole records cross two shuffles: by their name, to drop repeated deliveries, and by their container.
     """
     spark = changes.sparkSession
+    ship(spark)
     placed = workspace.keep(plan(changes, files_in_force(manifest, tiny), target), "archive-plan")
     columns = list(changes.schema.fields)
     path = F.coalesce(plain_path(F.col("sst_path")), F.lit(""))
@@ -198,6 +200,7 @@ def replaced(containers: DataFrame) -> DataFrame:
 
 def restore(containers: DataFrame, schema: T.StructType, path: str | None = None) -> DataFrame:
     """The packed records, of all files or of one; a member whose checksum fails raises."""
+    ship(containers.sparkSession)
     rows = containers
     if path is not None:
         rows = rows.filter(F.exists("members", lambda m: m["path"] == path))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
+from millrace.sources.workers import ship
 
 HASHES = 7
 #: Bits a key, and the least bits of a filter; seven hashes then let about 1 % of other keys pass.
@@ -59,6 +60,7 @@ def build(rows: DataFrame, file: str, key: str) -> DataFrame:
     Null keys are in no filter, and rows without a file in no file. Bits are combined to bytes before anything of a file comes
     together, so a file with a third of all keys brings no more together than its filter.
     """
+    ship(rows.sparkSession)
     h1, h2 = hashes(F.col("k"))
     keys = rows.select(col(file).alias("f"), col(key).alias("k")).dropna().distinct().select("f", h1.alias("h1"), h2.alias("h2"))
     sizes = keys.groupBy("f").agg(F.count("*").alias("n_keys")).withColumn("n_bits", F.greatest(F.col("n_keys") * BITS_A_KEY, F.lit(LEAST_BITS)))

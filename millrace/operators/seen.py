@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import col
 from millrace.functions.joins import join_measured
 from millrace.sources import workspace
+from millrace.sources.workers import ship
 
 #: Largest share of slots in use, remainder bits by default, log2 of the slots of one shard.
 LOAD, REMAINDER_BITS, SHARD_BITS = 0.75, 10, 17
@@ -151,6 +152,7 @@ def screen(feed: DataFrame, known: DataFrame, key: str, time: str, id: str, *, r
     time counts as earlier than all with one. ``r_bits`` sets the error: a new key is called
     seen with a chance of about ``load * 2 ** -r_bits``.
     """
+    ship(feed.sparkSession)
     named = feed.select(col(key).alias("k"), col(time).alias("t"), col(id).alias("i")).filter("k is not null")
     facts = named.agg(
         F.approx_count_distinct("k", 0.02).alias("n"),
