@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
 from millrace.sources import workspace
+from millrace.sources.workers import ship
 
 # LaTeX commands whose argument is markup and not text.
 _MARKUP = re.compile(r"\\(?:begin|end|cite[a-z]*|label|ref|eqref|input|include|includegraphics|bibliography|bibliographystyle|usepackage|documentclass|vspace|hspace)\*?(?:\[[^\[\]]*\])*\{[^{}]*\}|\\[a-zA-Z]+\*?")
@@ -82,6 +83,7 @@ def build_index(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     """The segments of the index, kept as a table. Rows whose id or text is null aren't indexed; an empty text has no
     postings. Ids are integers; repeated ids are separate documents.
     """
+    ship(documents.sparkSession)
     rows = documents.select(col(id).cast("long").alias("id"), col(text).alias("text")).dropna()
     return workspace.keep(rows.mapInPandas(_index, SEGMENT), "positional-index")
 
@@ -244,6 +246,7 @@ def _blocks(items: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, li
 def stock_phrases(items: DataFrame, id: str = "item_id", text: str = "item_text") -> set[tuple[int, ...]]:
     """Runs of words that more than ``STOCK`` of the different items share; there are at most some hundred such runs per
     word of an item, whatever the number of items."""
+    ship(items.sparkSession)
     runs = F.pandas_udf(lambda s: s.map(lambda t: [list(x) for x in {tuple(map(term, w[k : k + RUN])) for w in [words(t)] for k in range(len(w) - RUN + 1)}]), "array<array<long>>")
     runs.func.__annotations__ = {}
     texts = items.select(col(text).alias("t")).dropna().distinct()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
 from millrace.sources import workspace
+from millrace.sources.workers import ship
 
 #: Tokens of a sequence, by default.
 CAPACITY = 4096
@@ -61,6 +62,7 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
 
 def token_counts(documents: DataFrame, id: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """``id, n_tokens``; a null or empty text has none."""
+    ship(documents.sparkSession)
     udf = F.pandas_udf(lambda s: pd.Series(count_tokens([t or "" for t in s], path), dtype="int64"), "long")
     udf.func.__annotations__ = {}
     return documents.select(col(id).alias("id"), udf(col(text)).alias("n_tokens"))

@@ -24,6 +24,7 @@ from millrace.functions.columns import col
 from millrace.functions.joins import join_measured
 from millrace.llm.endings import CLOSED, OPEN, REMARK, UNSURE, ending, without_mark
 from millrace.sources import workspace
+from millrace.sources.workers import ship
 
 #: Log odds that an ending gives to a cut. A closed end outweighs any length; remarks after the end are far more common
 #: than cuts within a comment, so one takes a length at which hardly any text is whole.
@@ -97,6 +98,7 @@ def _features(text: pd.Series) -> pd.DataFrame:
 
 def features(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per document: its ending's evidence and its lengths. Reads each whole text once."""
+    ship(documents.sparkSession)
     udf = F.pandas_udf(_features, "evidence string, marked boolean, body_chars long, body_bytes long")
     rows = documents.select(col(id).alias("id"), col(source).alias("source"), F.length(col(text)).alias("chars"), F.octet_length(col(text)).alias("bytes"), F.xxhash64(col(text)).alias("hash"), udf(col(text)).alias("f"))
     return rows.select("id", "source", "chars", "bytes", "hash", "f.*")
