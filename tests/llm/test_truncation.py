@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.llm import truncation as T
 from millrace.llm.endings import CLOSED, OPEN, REMARK, UNSURE, ending, without_mark
