@@ -16,7 +16,6 @@ filter into it. A filter never misses a seen key; how often it flags a new one i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
