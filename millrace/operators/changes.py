@@ -47,15 +47,17 @@ def newest(changes: DataFrame, key: Sequence[str], order: Sequence[str], tombsto
 
 
 #: Bytes of a feed, as its source stores them, for which a log that isn't told otherwise has one bucket.
-BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 50_000
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 
 
 def buckets_for(changes: DataFrame) -> int:
-    """Buckets for a log that begins with these changes: as many as shuffle partitions, more if the files behind them ask for it.
-    Sources that can't tell their size report one of some exabytes."""
+    """Buckets for a log that begins with these changes: one for each core, but no more than shuffle partitions; more than either
+    if the files behind the changes ask for it. Sources that can't tell their size report one of some exabytes."""
+    spark = changes.sparkSession
     stored = int(str(changes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     stored = stored if stored < 1 << 60 else 0
-    return max(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, stored // BUCKET_BYTES))
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, least, min(MOST_BUCKETS, stored // BUCKET_BYTES))
 
 
 class ChangeLog:
