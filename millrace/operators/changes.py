@@ -131,12 +131,18 @@ class ChangeLog:
         used = [int(n.partition("=")[2]) for n in self.files.names(f"{self.root}/data") if n.startswith(f"{self.run}=")]
         run = max([state["next"] - 1, *used]) + 1
         state["next"] = run + 1
-        (
-            rows.repartition(self.buckets, col(self.key))
-            .withColumn(self.run, F.lit(run))
-            .write.mode("append").format("parquet").partitionBy(self.run).bucketBy(self.buckets, self.key).sortBy(self.key)
-            .saveAsTable(self.table)
-        )
+        # the aggregation before shuffles into as many partitions as there are buckets, so writing needs no second shuffle
+        partitions = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.buckets))
+        try:
+            (
+                rows.repartition(self.buckets, col(self.key))
+                .withColumn(self.run, F.lit(run))
+                .write.mode("append").format("parquet").partitionBy(self.run).bucketBy(self.buckets, self.key).sortBy(self.key)
+                .saveAsTable(self.table)
+            )
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", partitions)
         self.spark.catalog.refreshTable(self.table)
         return run
 
