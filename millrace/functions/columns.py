@@ -40,15 +40,23 @@ def orderable(kind: T.DataType) -> bool:
 
 
 def plain_path(path: Column) -> Column:
-    """A file path without surrounding blanks, doubled slashes, ``.`` and ``..`` steps.
+    """A file path without surrounding blanks, doubled or trailing slashes, ``.`` and ``..`` steps.
 
-    Null stays null. ``..`` removes the step before it; one that has nothing before it stays.
+    Null stays null. ``..`` removes the step before it, however many there are; one that has nothing before it stays in a relative
+    path and goes from an absolute one.
     """
-    # most paths are plain, and seeing that is far cheaper than eight rewrites
-    odd = path.contains("//") | path.contains("./") | path.endswith("/.") | path.endswith("/..") | path.startswith(" ") | path.endswith(" ")
-    p = F.regexp_replace(F.trim(path), "/{2,}", "/")
-    p = F.regexp_replace(p, r"(?<=^|/)(\./)+", "")
-    p = F.regexp_replace(p, r"/\.$", "")
-    for _ in range(4):
-        p = F.regexp_replace(p, r"(?<=^|/)(?!\.\./)[^/]+/\.\./", "")
-    return F.when(odd, p).otherwise(path)
+    # most paths are plain, and seeing that is far cheaper than walking their steps
+    odd = path.contains("//") | path.contains("./") | path.endswith("/") | path.endswith("/.") | path.endswith("/..") | path.startswith(" ") | path.endswith(" ") | (path == ".")
+    p = F.trim(path)
+    absolute = p.startswith("/")
+    steps = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
+    up = F.lit("..")
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda before, s: F.when(s != up, F.concat(before, F.array(s)))
+        .when((F.size(before) > 0) & (F.get(before, F.size(before) - 1) != up), F.slice(before, F.lit(1), F.size(before) - 1))
+        .when(absolute, before)
+        .otherwise(F.concat(before, F.array(s))),
+    )
+    return F.when(odd, F.concat(F.when(absolute, "/").otherwise(""), F.array_join(walked, "/"))).otherwise(path)
