@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -45,23 +46,47 @@ class Files:
     def create(self, path: str, text: str) -> bool:
         """Publish a new file in one step; False if somebody else already has.
 
-        The text is written beside its place and renamed, so no reader sees half of it.
+        No reader sees half of it, and of several writers one wins. On a local disk the text is written beside its place and
+        linked there, on HDFS renamed without replacing, both of which the file system carries out in one step; an object
+        store shows a file only when it is closed, and refuses a second one as far as it supports conditional writes.
         """
         fs, target = self._fs(path), self._path(path)
         if fs.exists(target):
             return False
         fs.mkdirs(target.getParent())
+        scheme = fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            return self._put(fs, target, text)
         side = self._path(f"{path}.{self._jvm.java.util.UUID.randomUUID()}.tmp")
-        stream = fs.create(side, True)
+        if not self._put(fs, side, text):
+            return False
+        try:
+            if scheme == "file":
+                nio = self._jvm.java.nio.file.Paths
+                places = [nio.get(self._jvm.java.net.URI(f"file://{fs.makeQualified(p).toUri().getRawPath()}")) for p in (target, side)]
+                self._jvm.java.nio.file.Files.createLink(*places)
+                return True
+            return bool(fs.rename(side, target))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(side, False)
+
+    @staticmethod
+    def _put(fs, path, text: str) -> bool:
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        # HDFS refuses to rename onto a file; a local rename would replace it
-        if not fs.exists(target) and fs.rename(side, target):
-            return True
-        fs.delete(side, False)
-        return False
+        return True
 
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)

@@ -1,8 +1,8 @@
 """Shared working storage for results that several stages read.
 
 On a cluster the folder is the one named by ``spark.checkpoint.dir``, which all executors share, so a
-table written here outlives any of them. Only where that setting is missing (tests, a laptop) is a
-temporary folder made, once per application, and removed at exit.
+table written here outlives any of them. Only where that setting is missing and Spark runs in one process (tests, a laptop) is
+a temporary folder made, once per application, and removed at exit; on a cluster the setting must be there.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ def base(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="millrace-")
