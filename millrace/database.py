@@ -64,7 +64,10 @@ class Database:
         return self.catalog.table(name)
 
     def insert_many(self, name: str, rows: DataFrame) -> None:
-        """Upsert all rows of a DataFrame in one commit; its columns must be the table's."""
+        """Upsert all rows of a DataFrame in one commit; its columns must be the table's.
+
+        The dialect has no NULL: a row that holds one fails the whole statement, and nothing is written.
+        """
         schema = self._writable(name)
         if set(rows.columns) != set(schema.kinds):
             raise QueryError(f"the rows of '{name}' need exactly its columns")
@@ -72,7 +75,14 @@ class Database:
             kind = n.INT if isinstance(f.dataType, T.IntegralType) else n.TEXT if isinstance(f.dataType, T.StringType) else None
             if kind != schema.kinds[f.name]:
                 raise QueryError(f"Type mismatch: column '{f.name}' expects {schema.kinds[f.name]} but received {f.dataType.simpleString()}")
-        self._table(schema).write_all(rows)
+        absent = F.raise_error(F.lit(f"missing value in the rows of '{name}'"))
+        whole = rows.select(*[F.when(col(c).isNull(), absent.cast(rows.schema[c].dataType)).otherwise(col(c)).alias(c) for c in schema.kinds])
+        try:
+            self._table(schema).write_all(whole)
+        except Exception as e:
+            if "missing value in the rows" in str(e):
+                raise QueryError(f"missing value in the rows of '{name}'") from None
+            raise
 
     # -- indexes ----------------------------------------------------------------------------------------
 

@@ -186,3 +186,11 @@ def test_streaming_feed(spark, folder):
     spark.createDataFrame([("b", None, True, 3), ("a", "0", False, 0), ("c", "1", False, 4)], schema).coalesce(1).write.mode("append").parquet(folder + "/in")
     run()
     assert {r.k: r.v for r in log.read().collect()} == {"a": "1", "c": "1"}
+
+
+@pytest.mark.parametrize("bad", [(None, "b", 1), (2, None, 1), (2, "b", None)])
+def test_null_in_bulk_rows_fails_the_whole_statement(spark, db, bad):
+    before = rows(db)
+    with pytest.raises(QueryError, match="missing value"):
+        db.insert_many("users", spark.createDataFrame([(77, "a", 1), bad], "id long, name string, age long"))
+    assert rows(db) == before
