@@ -88,7 +88,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.delta(table(spark, d, "block_records"), table(spark, d, "checkpoint_runs"))
+    return incremental.delta(table(spark, d, "block_records"), table(spark, d, "checkpoint_runs"), workspace.place(spark, "consumer"))
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
