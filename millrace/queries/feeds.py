@@ -1,16 +1,16 @@
-"""Queries p1 to p5: the change feed, its files, its keys, its references and its consumer."""
+"""Queries p1, p2, p4 and p5: the change feed, its files, its references and its consumer; and Bloom filters of its files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import archive, bloom, changes, incremental, orphans, seen
+from millrace.operators import archive, bloom, changes, incremental, orphans
 from millrace.queries.tables import table
 from millrace.sources import workspace
 
-#: Runs that a feed is appended in, and live runs at which the log compacts itself.
-BATCHES, FANOUT = 4, 4
+#: Runs that a feed is appended in, and runs of a level at which the log merges them: two of the first level stay beside one of the next.
+BATCHES, FANOUT = 5, 3
 
 
 def _log(spark: SparkSession, d: str) -> changes.ChangeLog:
@@ -43,34 +43,6 @@ def p2_levels(spark: SparkSession, d: str) -> DataFrame:
     return members.groupBy("level").agg(F.sum("n_records").alias("n_changes"), files)
 
 
-def _screen(spark: SparkSession, d: str) -> seen.Screen:
-    return seen.screen(table(spark, d, "block_records"), table(spark, d, "known_keys"), "rec_key", "arrived_at", "record_id")
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return seen.exact(_screen(spark, d)).select("record_id")
-
-
-def p3_error(spark: SparkSession, d: str) -> DataFrame:
-    return seen.error_report(_screen(spark, d))
-
-
-def p3_file_blooms(spark: SparkSession, d: str) -> DataFrame:
-    """How far the logged Bloom filters can be trusted, per entry of the manifest: the delivered records of its file, those
-    that the filter wrongly denies, and those of which it says nothing."""
-    entries = table(spark, d, "sstables").filter("log_action = 'ADD'")
-    entries = entries.select("entry_id", archive.plain_path(F.col("sst_path")).alias("path"), "bloom", "bloom_num_bits")
-    h1, h2 = bloom.hashes(F.col("rec_key"))
-    rows = table(spark, d, "block_records").select(h1.alias("h1"), h2.alias("h2"), archive.plain_path(F.col("sst_path")).alias("path"))
-    held = bloom.holds(F.col("h1"), F.col("h2"), F.col("bloom"), F.col("bloom_num_bits"))
-    return (
-        rows.join(entries, "path")
-        .select("entry_id", held.alias("held"))
-        .groupBy("entry_id")
-        .agg(F.count("*").alias("n_records"), F.count_if(~F.col("held")).alias("n_denied"), F.count_if(F.col("held").isNull()).alias("n_unknown"))
-    )
-
-
 def bloom_build(spark: SparkSession, d: str) -> DataFrame:
     """Filters built from the delivered records of each file, by the bits that they set."""
     built = bloom.build(table(spark, d, "block_records"), "sst_path", "rec_key")
@@ -98,7 +70,7 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("wal_segment").agg(F.count("*").alias("n_deliveries"), F.count_if(~F.col("masked")).alias("n_new"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_levels, p3_found, p3_error, p3_file_blooms, bloom_build, p4_found, p4_report, p5_found, p5_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_levels, bloom_build, p4_found, p4_report, p5_found, p5_segments)}
 
 _NEWEST = """SELECT *, row_number() OVER (PARTITION BY rec_key ORDER BY iter_index DESC, seq DESC) AS nth FROM block_records"""
 
@@ -150,22 +122,6 @@ SQL = {
 ), n_changes AS (SELECT coalesce(sst_level, 'L0') AS level, count(*) AS n FROM placed GROUP BY 1
 ), n_files AS (SELECT sst_level AS level, count(*) AS n FROM files GROUP BY 1)
 SELECT level, CAST(coalesce(c.n, 0) AS BIGINT) AS n_changes, CAST(coalesce(f.n, 0) AS BIGINT) AS n_files FROM n_changes c FULL JOIN n_files f USING (level)""",
-    "p3_found": """SELECT record_id FROM (
-  SELECT record_id, rec_key, row_number() OVER (PARTITION BY rec_key ORDER BY arrived_at, record_id) AS nth FROM block_records
-) WHERE nth > 1 OR rec_key IN (SELECT rec_key FROM known_keys)""",
-    "p3_file_blooms": r"""
-WITH entries AS (
-  SELECT entry_id, bloom, bloom_num_bits AS m, regexp_replace(regexp_replace(regexp_replace(trim(sst_path), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '') AS sst_path
-  FROM sstables WHERE log_action = 'ADD'
-), probes AS (
-  SELECT entry_id, bloom, m, CAST('0x' || substr(md5(rec_key), 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(md5(rec_key), 9, 8) AS BIGINT) AS h2
-  FROM block_records JOIN entries USING (sst_path)
-), answers AS (
-  SELECT entry_id, CASE WHEN m > 0 AND octet_length(bloom) * 8 >= m THEN
-    list_bool_and([get_bit(CAST(bloom AS BIT), CAST((b // 8) * 8 + 7 - b % 8 AS INTEGER)) = 1 FOR b IN [(h1 + i * h2) % m FOR i IN range(7)]]) END AS held
-  FROM probes
-)
-SELECT entry_id, count(*) AS n_records, count(*) FILTER (WHERE NOT held) AS n_denied, count(*) FILTER (WHERE held IS NULL) AS n_unknown FROM answers GROUP BY entry_id""",
     "bloom_build": """
 WITH keys AS (SELECT DISTINCT sst_path, rec_key FROM block_records WHERE sst_path IS NOT NULL),
 sizes AS (SELECT sst_path, count(*) AS n_keys, greatest(count(*) * 10, 64) AS n_bits FROM keys GROUP BY sst_path),
