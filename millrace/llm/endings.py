@@ -123,17 +123,26 @@ def ending(text: str) -> str:
     something. ``remark``: so far closed, but its last line is a comment that breaks off, as remarks after the end
     of a file do and cuts may. ``unsure``: the rest, and empty text.
     """
-    ended, is_open, comment = structure(text.rstrip())
+    return detail(text).partition(" ")[0]
+
+
+def detail(text: str) -> str:
+    """The evidence and, behind a blank, what it rests on: of an open end whether something encloses it (``in``) and whether it stops
+    at a word, a sign or a full stop; of a remark whether its line is ended."""
+    rest = text.rstrip()
+    ended, is_open, comment = structure(rest)
     if ended:
         return CLOSED
+    last = rest[-1:]
     if is_open:
-        return OPEN
-    rest = text.rstrip()
+        return f"{OPEN} in {'word' if last.isalnum() else 'stop' if _SENTENCE.search(rest) else 'sign'}"
     if comment >= 0:
         remark = rest[comment:].strip("% \t\n-=*#")
-        before = ending(_above(rest, comment))
+        before = detail(_above(rest, comment))
         # a comment that is itself a whole sentence, a rule or empty says nothing
-        return before if not remark or _SENTENCE.search(remark) or before != CLOSED else REMARK
+        if not remark or _SENTENCE.search(remark) or before != CLOSED:
+            return before
+        return f"{REMARK} {'line' if '\n' in text[len(rest):] else 'part'}"
     while True:
         cut = _TRAILER.sub("", rest).rstrip()
         if (m := _COMMENT.search(cut)) is not None:
@@ -147,5 +156,5 @@ def ending(text: str) -> str:
         return CLOSED
     last = rest[-1]
     if last.isalnum() or last in ",;:-=+~(&_^$<|/'…" or re.search(r"\\(?:[a-zA-Z]*|[%&#_$])$|\\\\$", rest):
-        return OPEN
+        return f"{OPEN} {'word' if last.isalnum() else 'sign'}"
     return UNSURE

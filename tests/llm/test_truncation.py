@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import truncation as T
 from millrace.llm.endings import CLOSED, OPEN, REMARK, UNSURE, ending, without_mark
@@ -41,6 +42,30 @@ def test_maximum_likelihood_finds_the_law_behind_a_limit(share):
     assert abs(mean - 7.5) < 0.05 and abs(s - 0.6) < 0.05
 
 
+def test_law_and_several_limits_are_found_together():
+    r = np.random.default_rng(2)
+    lengths = np.exp(r.normal(7.5, 0.6, 30_000)).astype(int)
+    subject = r.choice([10**9, 1500, 3000], len(lengths), p=[0.5, 0.2, 0.3])
+    held = np.minimum(lengths, subject)
+    size, n = np.unique(held, return_counts=True)
+    atoms = (n > 60) | (size >= size.max() - T.BACK)
+    posterior = dict(zip(size[atoms], T.limits_of(np.log(size[~atoms]), n[~atoms].astype(float), size[atoms], n[atoms], int(size.max())), strict=True))
+    for limit in (1500, 3000):
+        natural = (lengths == limit).sum()
+        true = 1 - natural / (held == limit).sum()
+        assert abs(posterior[limit] - true) < 0.02
+    assert max(p for x, p in posterior.items() if x not in (1500, 3000)) < 0.5
+
+
+def test_weights_of_endings_are_estimated():
+    classes = ["closed", "open word", "open word+", "remark part"]
+    # where no limit is near 2 % are cut; at a limit most are, and bear a mark there; remarks don't depend on length
+    counts = np.array([[9500, 195, 5, 300], [20, 300, 660, 1]], float)
+    apart, at_limit, share = T.weigh(np.array([0.02, 0.98]), classes, counts)
+    assert 0.01 < share < 0.03 and apart["closed"] == -60
+    assert apart["open word"] > 5 and at_limit["open word+"] > at_limit["open word"] > 5 and apart["remark part"] < -2
+
+
 def sentence(r):
     return " ".join(r.choice(["the", "beam", "field", "yields", "a", "small", "größere", "phase"]) for _ in range(r.randrange(6, 14))) + "."
 
@@ -92,10 +117,24 @@ def test_a_remark_counts_as_cut_only_at_a_limit(spark):
     body = "One sentence ends here.\n% a remark and "
     rows += [(100, body + "x" * (2000 - len(body)), "s"), (101, body + "more", "s"), (102, "Short one.\n% end", "s")]
     rows += [(200 + i, sentence(r) * r.randrange(1, 30), "s") for i in range(80)]
-    got = {x.doc_id: x for x in T.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in T.truncated(docs).collect()}
+    # without the lengths nothing tells this remark from others
+    assert {x.doc_id for x in T.truncated(docs, lengths=False).collect() if x.is_cut != got[x.doc_id].is_cut} == {100}
     assert got[100].is_cut and got[100].evidence == REMARK and not got[101].is_cut and not got[102].is_cut
 
 
+def test_one_open_end_among_very_many_whole_texts_is_no_cut_unless_at_a_limit(spark):
+    r = random.Random(5)
+    whole = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("All is said in text "), "id", F.lit(" "), F.repeat(F.lit("y"), (F.col("id") * 7919 % 3001).cast("int")), F.lit(" here.")).alias("text"), F.lit("big").alias("source"))
+    few = [(10**6, "It ends in a wo", "big"), (10**6 + 1, "It ends in a wo", "small")]
+    few += [(10**7 + i, " ".join(r.choice(["one", "two", "three"]) for _ in range(900))[:2000], "small") for i in range(60)]
+    few += [(2 * 10**7 + i, sentence(r) * r.randrange(1, 30), "small") for i in range(80)]
+    docs = whole.unionByName(spark.createDataFrame(few, "doc_id long, text string, source string"))
+    cut = {x.doc_id for x in T.truncated(docs).filter("is_cut").collect()}
+    assert cut == {10**6 + 1, *range(10**7, 10**7 + 60)}
+
+
 def test_padding_at_the_limit_is_no_cut(spark):
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(["one", "two"]) for _ in range(400))[:1000], "s") for i in range(40)] + [(50, "All is said.\n" + "%" * 987, "s")]
