@@ -28,7 +28,7 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).read(columns=["rec_key", "rec_value"])
 
 
-def _pack(spark: SparkSession, d: str) -> DataFrame:
+def _pack(spark: SparkSession, d: str) -> archive.Archive:
     return archive.pack(table(spark, d, "block_records"), table(spark, d, "sstables"), workspace.place(spark, "archive"))
 
 
@@ -38,17 +38,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_levels(spark: SparkSession, d: str) -> DataFrame:
     """Per level, the changes packed and the files in force that they came from."""
-    members = archive.index(_pack(spark, d))
+    members = _pack(spark, d).index
     files = F.count_if((F.col("part") == 0) & F.col("in_force")).alias("n_files")
     return members.groupBy("level").agg(F.sum("n_records").alias("n_changes"), files)
 
 
 def bloom_build(spark: SparkSession, d: str) -> DataFrame:
-    """Filters built from the delivered records of each file, by the bits that they set."""
+    """Filters built from the delivered records of each file, byte for byte."""
     built = bloom.build(table(spark, d, "block_records"), "sst_path", "rec_key")
-    ones = F.pandas_udf(lambda s: s.map(lambda b: int.from_bytes(b).bit_count()), "long")
-    ones.func.__annotations__ = {}
-    return built.select("sst_path", "n_keys", "n_bits", ones("bloom").alias("n_set"))
+    return built.select("sst_path", "n_keys", "n_bits", F.md5("bloom").alias("bloom_md5"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +127,9 @@ bits AS (
   SELECT DISTINCT sst_path, n_keys, n_bits, (CAST('0x' || substr(md5(rec_key), 1, 8) AS BIGINT) + i * CAST('0x' || substr(md5(rec_key), 9, 8) AS BIGINT)) % n_bits AS b
   FROM keys JOIN sizes USING (sst_path), range(7) AS hashes(i)
 )
-SELECT sst_path, n_keys, n_bits, count(*) AS n_set FROM bits GROUP BY ALL""",
+SELECT sst_path, n_keys, n_bits, md5(unhex(string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY place))) AS bloom_md5
+FROM (SELECT sst_path, n_keys, n_bits, unnest(range((n_bits + 7) // 8)) AS place FROM sizes)
+LEFT JOIN (SELECT sst_path, b // 8 AS place, CAST(sum(1 << (b % 8)) AS BIGINT) AS v FROM bits GROUP BY 1, 2) USING (sst_path, place) GROUP BY ALL""",
     "p4_found": f"""{_ENTRIES}
 SELECT 'block_records' AS ref_source, rec_key AS ref_key FROM judged WHERE missing OR deleted OR late OR undeclared
 UNION ALL

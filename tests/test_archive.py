@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import joins
 from millrace.functions.columns import plain_path
 from millrace.operators import archive
 
@@ -48,38 +49,70 @@ def small(spark):
 
 def test_every_change_is_packed_once_and_restored(spark, folder, small):
     feed, log = small
-    containers = archive.pack(feed, log, folder + "/arc", target=20_000)
-    back = archive.restore(containers, feed.schema)
+    arc = archive.pack(feed, log, folder + "/arc", target=20_000)
+    back = archive.restore(arc, feed.schema)
     assert back.count() == 8
     assert back.drop("member_path").exceptAll(feed).count() == 0
     # the repeated change lies in the greatest of its files in force
     assert [r.member_path for r in back.filter("rec_key = 'k1'").collect()] == ["b"]
-    assert [r.rec_value for r in archive.restore(containers, feed.schema, "big").collect()] == ["z" * 50_000]
+    assert [r.rec_value for r in archive.restore(arc, feed.schema, "big").collect()] == ["z" * 50_000]
 
 
 def test_index_points_at_the_bytes(spark, folder, small):
-    containers = archive.pack(*small, folder + "/arc")
-    data = {r.container_id: r for r in containers.collect()}
-    members = archive.index(containers).collect()
+    arc = archive.pack(*small, folder + "/arc")
+    data = {r.container_id: r for r in arc.containers.collect()}
+    members = arc.index.collect()
     for m in members:
         piece = data[m.container_id].data[m.offset : m.offset + m.length]
         assert zlib.crc32(piece) == m.crc32 and piece.count(b"\n") == m.n_records
     assert {m.path: (m.level, m.length > 0) for m in members} == {"a": ("L0", True), "b": ("L1", True), "empty": ("L1", False), "big": ("L2", True), "gone": ("L0", True), "": ("L0", True)}
-    assert {(r.sst_path, r.sst_level) for r in archive.replaced(containers).collect()} == {("a", "L0"), ("b", "L1"), ("empty", "L1")}
-    bad = containers.withColumn("members", F.transform("members", lambda m: m.withField("crc32", m["crc32"] + 1)))
+    assert {(r.sst_path, r.sst_level) for r in archive.replaced(arc).collect()} == {("a", "L0"), ("b", "L1"), ("empty", "L1")}
+    damaged = arc.containers.withColumn("members", F.transform("members", lambda m: m.withField("crc32", m["crc32"] + 1)))
+    damaged.write.parquet(folder + "/bad/containers")
     with pytest.raises(Exception, match="bad checksum"):
-        archive.restore(bad, small[0].schema).collect()
+        archive.restore(archive.Archive(spark, folder + "/bad"), small[0].schema).collect()
 
 
 def test_a_huge_file_is_split_and_containers_are_well_sized(spark, folder):
     feed = spark.range(3000).select(F.col("id").alias("record_id"), F.concat(F.lit("key"), "id").alias("rec_key"), F.lit("v" * 20).alias("rec_value"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("iter_index"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), F.col("id") % 200)).alias("sst_path"), F.lit(T0).alias("arrived_at"))
     log = feed.select("sst_path").distinct().select(F.lit(1).cast("long").alias("entry_id"), F.lit("ADD").alias("log_action"), "sst_path", F.lit("L0").alias("sst_level"), F.lit(9).cast("long").alias("file_size"), F.lit(T0).alias("logged_at"))
-    containers = archive.pack(feed, log, folder + "/arc", target=60_000)
-    assert archive.index(containers).filter("path = 'hot'").count() >= 4
-    sizes = sorted(r.n_bytes for r in containers.collect())
-    assert sum(r.n_records for r in containers.collect()) == 3000 and sizes[-1] < 120_000 and len(sizes) < 20
+    arc = archive.pack(feed, log, folder + "/arc", target=60_000)
+    assert arc.index.filter("path = 'hot'").count() >= 4
+    assert arc.index.count() == arc.index.select("path", "part").distinct().count()
+    sizes = sorted(r.n_bytes for r in arc.containers.collect())
+    assert sum(r.n_records for r in arc.containers.collect()) == 3000 and sizes[-1] < 120_000 and len(sizes) < 20
 
 
 def test_empty_tables(spark, folder):
-    containers = archive.pack(spark.createDataFrame([], FEED), spark.createDataFrame([], LOG), folder + "/arc")
-    assert containers.count() == 0 and archive.replaced(containers).count() == 0
+    arc = archive.pack(spark.createDataFrame([], FEED), spark.createDataFrame([], LOG), folder + "/arc")
+    assert arc.containers.count() == 0 and archive.replaced(arc).count() == 0
+
+
+def many(spark, n=4000):
+    feed = spark.range(n).select(F.col("id").alias("record_id"), F.concat(F.lit("key"), F.col("id") % (n // 2)).alias("rec_key"), F.lit("v" * 20).alias("rec_value"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("iter_index"), (F.col("id") % (n // 2)).alias("seq"), F.concat(F.lit("f"), F.col("id") % 300).alias("sst_path"), F.lit(T0).alias("arrived_at"))
+    log = feed.select("sst_path").distinct().select(F.lit(1).cast("long").alias("entry_id"), F.lit("ADD").alias("log_action"), "sst_path", F.concat(F.lit("L"), F.substring("sst_path", -1, 1).cast("int") % 3).alias("sst_level"), F.lit(9).cast("long").alias("file_size"), F.lit(T0).alias("logged_at"))
+    return feed, log
+
+
+def test_files_are_joined_alike_whether_broadcast_or_merged(spark, folder, monkeypatch):
+    feed, log = many(spark)
+    one = archive.pack(feed, log, folder + "/one", target=50_000)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    two = archive.pack(feed, log, folder + "/two", target=50_000)
+    rows = [sorted(archive.restore(a, feed.schema).collect()) for a in (one, two)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2000
+
+
+def test_one_file_is_read_from_one_container(spark, folder):
+    feed, log = many(spark)
+    arc = archive.pack(feed, log, folder + "/arc", target=50_000)
+    assert arc.containers.count() > 8
+    one = archive.restore(arc, feed.schema, "f217")
+    assert {r.sst_path for r in one.collect()} == {"f217"} and len(one.inputFiles()) == 1
+    assert archive.restore(arc, feed.schema, "no such file").count() == 0
+
+
+def test_rows_without_ids_are_told_apart_by_all_columns(spark, folder):
+    rows = [(None, "k", v, False, None, 1, "a", T0, None, None) for v in ("x", "y", "x")]
+    arc = archive.pack(spark.createDataFrame(rows, FEED), spark.createDataFrame([(1, "ADD", "a", "L0", 10, at(1))], LOG), folder + "/arc")
+    assert sorted(r.rec_value for r in archive.restore(arc, spark.createDataFrame(rows, FEED).schema).collect()) == ["x", "y"]
