@@ -7,7 +7,7 @@ CRC-32, so one file is read back by opening one container, and all of them in pa
 
 Which delivery of a change is packed is settled on narrow rows: files get numbers in the order in which they win, and each change
 takes its greatest. Whole records cross one shuffle, by the bucket of their file, in which they meet the verdict, are
-sorted by file and packed. A bucket holds some containers' worth of files; a file that is far greater is spread over buckets, so
+sorted by file and packed. A task gets some containers' worth of buckets; a file that is greater is spread over buckets, so
 no task takes more than its share, whatever one file holds.
 """
 
@@ -33,8 +33,8 @@ TINY = 4096
 LOOSE_LEVEL = "L0"
 #: Bytes around the key and the value of one record; only the plan uses it.
 RECORD_BYTES = 190
-#: Containers that one bucket fills on average, and files that are spread over buckets at most.
-BUCKET_CONTAINERS, SPREAD = 4, 1 << 16
+#: Containers that a task fills on average, buckets that it gets on average, and files that are spread over buckets at most.
+TASK_CONTAINERS, TASK_BUCKETS, SPREAD = 4, 16, 1 << 16
 #: Containers that a task has open at most, one per level.
 OPEN = 16
 
@@ -99,10 +99,10 @@ def _line(columns: list[T.StructField]) -> Column:
 
 
 class _Packer:
-    """The containers of one bucket, written file by file; one is open per level."""
+    """The containers of one task's buckets, written file by file; one is open per level."""
 
-    def __init__(self, bucket: int, n_buckets: int, target: int):
-        self.bucket, self.stride, self.target, self.made = bucket, n_buckets + 1, target, 0
+    def __init__(self, n_buckets: int, target: int):
+        self.bucket, self.stride, self.target, self.made = 0, n_buckets + 1, target, 0
         self.open: dict[str | None, tuple[bytearray, list[dict]]] = {}
         self.out: list[dict] = []
         self.head, self.member, self.pieces = None, None, 0
@@ -115,9 +115,9 @@ class _Packer:
         self.out.append(row)
         self.made += 1
 
-    def begin(self, head: dict) -> None:
+    def begin(self, bucket: int, head: dict) -> None:
         """The next file; in its home bucket one in force has a member even without records."""
-        self.head, self.member, self.pieces = head, None, 0
+        self.bucket, self.head, self.member, self.pieces = bucket, head, None, 0
         if head["home"] and head["in_force"]:
             self.piece()
 
@@ -168,24 +168,20 @@ class _Packer:
 
 def _packed(batches: Iterator[pd.DataFrame], n_buckets: int, target: int) -> Iterator[pd.DataFrame]:
     """Containers from rows sorted by bucket and file, the file's own row before its records."""
-    packer = None
+    packer = _Packer(n_buckets, target)
     for pdf in batches:
         buckets, files = pdf["bucket"].to_numpy(), pdf["file_no"].to_numpy()
         change = (buckets[1:] != buckets[:-1]) | (files[1:] != files[:-1])
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)] if len(pdf) else []
         heads, keys, lines = pdf["head"].tolist(), pdf["rec_key"].tolist(), pdf["line"].tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if packer is None or packer.bucket != buckets[a]:
-                if packer is not None and (done := packer.end()):
-                    yield pd.DataFrame(done)
-                packer = _Packer(int(buckets[a]), n_buckets, target)
             if heads[a] is not None:
-                packer.begin(heads[a])
+                packer.begin(int(buckets[a]), heads[a])
                 a += 1
             packer.add(lines[a:b], keys[a:b])
             if done := packer.take():
                 yield pd.DataFrame(done)
-    if packer is not None and (done := packer.end()):
+    if done := packer.end():
         yield pd.DataFrame(done)
 
 
@@ -218,8 +214,9 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     ship(spark)
     files = workspace.keep(numbered_files(changes, files_in_force(manifest, tiny)), "archive-files")
     total, n_nameless = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n_nameless"), F.lit(0))).first()
-    share = max(BUCKET_CONTAINERS * target, total // SPREAD)
-    n = total // (BUCKET_CONTAINERS * target) + 1
+    n_tasks = total // (TASK_CONTAINERS * target) + 1
+    # tasks get as many buckets each, give or take chance, so there are several to each
+    n, share = n_tasks * TASK_BUCKETS, max(TASK_CONTAINERS * target // 2, total // SPREAD)
     # fewer than SPREAD files can hold more than a share each
     spread = workspace.keep(files.filter(F.col("bytes") > share).select("path", F.ceil(F.col("bytes") / share).alias("n_parts")), "archive-spread")
     columns = list(changes.schema.fields)
@@ -243,7 +240,8 @@ def pack(changes: DataFrame, manifest: DataFrame, root: str, *, target: int = 8
     records = records.select("bucket", F.lit(1).alias("kind"), "rid", "rec")
     parts = join_measured(files, spread, ["path"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1)))
     heads = parts.select(bucket(F.col("part")).alias("bucket"), F.lit(0).alias("kind"), F.col("file_no").alias("rid"), "file_no", F.struct((F.col("part") == 0).alias("home"), "path", "level", "in_force", "tiny").alias("head"))
-    rows = records.unionByName(chosen, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True).repartitionById(n, F.col("bucket").cast("int"))
+    rows = records.unionByName(chosen, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True).repartition(n_tasks, "bucket")
+    # grouped within buckets, rows stay where that shuffle has brought them
     rows = rows.groupBy("bucket", "kind", "rid").agg(F.max("file_no").alias("file_no"), F.first("rec", ignorenulls=True).alias("rec"), F.max("head").alias("head"))
     rows = rows.filter("file_no is not null and (kind = 0 or rec is not null)").sortWithinPartitions("bucket", "file_no", "kind", "rec.iter_index", "rec.seq", "rid")
     packed = rows.select("bucket", "file_no", "head", "rec.rec_key", _line(columns).alias("line")).mapInPandas(lambda b: _packed(b, n, target), CONTAINER)

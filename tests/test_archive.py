@@ -103,6 +103,19 @@ def test_files_are_joined_alike_whether_broadcast_or_merged(spark, folder, monke
     assert rows[0] == rows[1] and len(rows[0]) == 2000
 
 
+def test_whole_records_cross_one_shuffle(spark, folder, monkeypatch):
+    monkeypatch.setattr(archive, "TASK_CONTAINERS", 1)
+    plans, feed_log = [], many(spark)
+    real = archive.DataFrame.mapInPandas
+    monkeypatch.setattr(archive.DataFrame, "mapInPandas", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
+    arc = archive.pack(*feed_log, folder + "/arc", target=50_000)
+    (wide,) = [p for p in plans if "Union" in p]
+    above = wide[: wide.index("Union")]
+    assert above.count("Exchange") == 1 and "REPARTITION_BY_NUM" in above
+    assert archive.restore(arc, feed_log[0].schema).count() == 2000
+    assert arc.containers.select("container_id").distinct().count() == arc.containers.count() > 8
+
+
 def test_one_file_is_read_from_one_container(spark, folder):
     feed, log = many(spark)
     arc = archive.pack(feed, log, folder + "/arc", target=50_000)
