@@ -2,16 +2,18 @@
 
 ``build_index`` turns the corpus into segments. A segment holds whole documents of bounded size together and, for each of
 its terms, the sorted list of the term's positions. ``search`` sends the test items past all segments in blocks of bounded
-size: every three words in a row of an item are looked up from the posting list of the rarest of the three, shifted by its
-place and intersected with the lists of the others; where two or more such hits lie on about one
-diagonal of item and document, the words around them are aligned, which tolerates exchanged and inserted words.
-No posting is shuffled: an item's hits in a document all lie in one segment.
+size, several blocks in one pass: every three words in a row of an item are looked up from the posting list of the rarest of the three,
+shifted by its place and intersected with the lists of the others; where two or more such hits lie on about one
+diagonal of item and document, the words around them are aligned, which tolerates exchanged and inserted words. A match says where
+it lies, and whether it is an exact phrase or words in proximity.
+No posting is grouped or sorted again: an item's hits in a document all lie in one segment.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,11 @@ SHARE, EXCHANGED, OWN = 1 / 3, 1 / 6, 1 / 2
 TOGETHER = 128
 #: A run of words in more than this share of the different items (and in more than 3) is a stock phrase.
 STOCK = 0.01
-#: Tokens of a segment; items, and bytes of their text, that are searched at once.
-SEGMENT_TOKENS, BLOCK_ITEMS, BLOCK_BYTES = 400_000, 4096, 8 << 20
+#: Tokens of a segment; items of a block and bytes of their text; blocks that one pass over the index takes; segments of a task.
+SEGMENT_TOKENS, BLOCK_ITEMS, BLOCK_BYTES, PASS_BLOCKS, TASK_SEGMENTS = 400_000, 4096, 8 << 20, 8, 4
+#: What kinds of matches there are: a phrase of a passage's length word by word, or words in order with others between or exchanged.
+EXACT, PROXIMITY = "exact", "proximity"
+MATCH = "doc_id long, item_id long, n_matched int, n_own int, n_words int, first_word int, phrase_words int, kind string"
 
 SEGMENT = "doc_ids array<long>, doc_starts array<int>, terms binary, lengths binary, gaps binary"
 
@@ -99,6 +104,8 @@ class Segment:
         before = np.concatenate(([0], total))[self.begins] if len(gaps) else self.begins
         self.positions = total - np.repeat(before, self.lengths)
         self.n = len(gaps)
+        #: All postings as one ascending list, by term and position, in which the list of every term can be searched.
+        self.postings = np.repeat(np.arange(len(self.terms)), self.lengths) * np.int64(self.n + 1) + self.positions
         #: The term at each position, from the postings; ``BAND`` words of none on either side.
         self.at = np.full(self.n + 2 * BAND, -1, np.int64)
         self.at[self.positions + BAND] = np.repeat(np.arange(len(self.terms)), self.lengths)
@@ -110,6 +117,12 @@ class Segment:
         k = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[k] == hashes, k, -2)
 
+    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether the list of each term has a position."""
+        wanted = terms * np.int64(self.n + 1) + positions
+        k = np.searchsorted(self.postings, wanted)
+        return (k < self.n) & (self.postings[np.minimum(k, self.n - 1)] == wanted)
+
     def doc(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_starts, position, side="right") - 1
 
@@ -117,22 +130,24 @@ class Segment:
         """Where runs of terms (one per row, by number) occur: the row and the position of its first word.
 
         Each run starts from the list of its rarest term, shifted by the term's place, and is intersected
-        with the others' lists.
+        with the others' lists, the rarer first.
         """
         width = runs.shape[1]
         usable = np.flatnonzero((runs >= 0).all(axis=1))
         out_run, out_at = [], []
         count = self.lengths[runs[usable]]
-        rarest = count.argmin(axis=1)
-        size = count[np.arange(len(usable)), rarest]
+        by_size = count.argsort(axis=1, kind="stable")
+        size = count[np.arange(len(usable)), by_size[:, 0]]
         for part in np.array_split(np.arange(len(usable)), max(1, int(size.sum()) // 1_000_000 + 1)):
-            u, r, s = usable[part], rarest[part], size[part]
+            u, r, s = usable[part], by_size[part], size[part]
             which = np.repeat(np.arange(len(u)), s)
             within = np.arange(len(which)) - np.repeat(np.cumsum(s) - s, s)
-            first = self.positions[self.begins[runs[u, r]][which] + within] - r[which]
-            for k in range(width):
-                ok = (first >= 0) & (first + width <= self.n)
-                ok[ok] = self.at[first[ok] + BAND + k] == runs[u[which[ok]], k]
+            first = self.positions[self.begins[runs[u, r[:, 0]]][which] + within] - r[which, 0]
+            ok = (first >= 0) & (first + width <= self.n)
+            which, first = which[ok], first[ok]
+            for k in range(1, width):
+                place = r[which, k]
+                ok = self.holds(runs[u[which], place], first + place)
                 which, first = which[ok], first[ok]
             inside = self.doc(first) == self.doc(first + width - 1)
             out_run.append(u[which[inside]])
@@ -185,6 +200,7 @@ class Items:
                     place.append((runs.setdefault(run, len(runs)), n, k))
             self.own.append(own)
         self.runs = np.array(list(runs), np.int64).reshape(-1, RUN)
+        self.n_runs = np.bincount(np.array([n for _, n, _ in place], np.int64), minlength=len(rows))
         place = np.array(sorted(place), np.int64).reshape(-1, 3)
         self.place_begin = np.searchsorted(place[:, 0], np.arange(len(runs) + 1))
         self.place_item, self.place_offset = place[:, 1], place[:, 2]
@@ -192,43 +208,54 @@ class Items:
         self.run_terms = self.run_terms.reshape(-1, RUN)
 
 
-def _matches(segment: Segment, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+def _matches(segment: Segment, items: Items) -> Iterator[tuple]:
     if not segment.n or not len(items.runs):
         return
     run, at = segment.phrases(segment.find(items.vocabulary)[items.run_terms])
     times = items.place_begin[run + 1] - items.place_begin[run]
     place = np.repeat(items.place_begin[run] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     at, item, offset = np.repeat(at, times), items.place_item[place], items.place_offset[place]
+    if not len(at):
+        return
     doc, diagonal = segment.doc(at), at - offset
-    order = np.lexsort((diagonal, item, doc))
+    order = np.lexsort((offset, diagonal, item, doc))
     doc, item, diagonal, at, offset = doc[order], item[order], diagonal[order], at[order], offset[order]
     # hits of one document and item whose diagonals follow closely are one candidate
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND)
+    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+    new = np.append(True, ~same | (diagonal[1:] - diagonal[:-1] > BAND))
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(doc))
-    keep = end - begin >= HITS
+    # hits on one diagonal, each a word on, are one phrase
+    apart = np.append(True, ~same | (diagonal[1:] != diagonal[:-1]) | (offset[1:] - offset[:-1] != 1))
+    since = np.arange(len(doc)) - np.maximum.accumulate(np.where(apart, np.arange(len(doc)), 0))
+    phrase = np.maximum.reduceat(since, begin) + RUN
+    # a candidate needs several different runs of its item, or all that the item has
+    group = np.cumsum(new) - 1
+    runs_hit = np.bincount(np.unique(np.stack([group, offset], axis=1), axis=0)[:, 0], minlength=len(begin))
+    keep = runs_hit >= np.minimum(HITS, items.n_runs[item[begin]])
     # pairs of like size are aligned together
     size = np.array([len(w) for w in items.words], np.int64)[item[begin[keep]]]
-    chosen = np.stack([begin[keep], end[keep]], axis=1)[np.argsort(size, kind="stable")]
-    found: dict[tuple[int, int], tuple[int, int]] = {}
+    chosen = np.stack([begin[keep], end[keep], phrase[keep]], axis=1)[np.argsort(size, kind="stable")]
+    found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     for part in np.array_split(chosen, max(1, -(-len(chosen) // TOGETHER))) if len(chosen) else []:
-        pairs, texts = [], []
-        for a, b in part.tolist():
+        pairs, texts, places = [], [], []
+        for a, b, length in part.tolist():
             d, i = int(doc[a]), int(item[a])
             n = len(items.words[i])
             bounds = segment.doc_starts[d], segment.doc_starts[d + 1] if d + 1 < len(segment.doc_starts) else segment.n
             low, high = max(bounds[0], diagonal[a] - n // 2), min(bounds[1], diagonal[b - 1] + n + n // 2 + 1)
             pairs.append((d, i))
             texts.append(segment.at[low + BAND : high + BAND])
+            places.append((int(at[a:b].min() - bounds[0]), length))
         totals, owns = align([segment.find(items.words[i]) for _, i in pairs], [items.own[i] for _, i in pairs], texts)
-        for pair, total, own in zip(pairs, totals.tolist(), owns.tolist(), strict=True):
-            found[pair] = max(found.get(pair, (0, 0)), (total, own))
-    for (d, i), (total, own) in found.items():
+        for pair, total, own, (first, length) in zip(pairs, totals.tolist(), owns.tolist(), places, strict=True):
+            # of matches that are equally good the first in the text
+            found[pair] = max(found.get(pair, (0, 0, 0, 0)), (total, own, length, -first))
+    for (d, i), (total, own, length, first) in found.items():
         n = len(items.words[i])
         least = SHARE * (1 - EXCHANGED) * n
         if total >= least and own >= OWN * least:
-            yield int(segment.doc_ids[d]), items.ids[i], total, own, n
+            yield int(segment.doc_ids[d]), items.ids[i], total, own, n, -first, length, EXACT if length >= SHARE * n else PROXIMITY
 
 
 def _blocks(items: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
@@ -256,32 +283,44 @@ def stock_phrases(items: DataFrame, id: str = "item_id", text: str = "item_text"
 
 
 def search(index: DataFrame, items: DataFrame, id: str = "item_id", text: str = "item_text") -> DataFrame:
-    """Passages of the items in the indexed documents: ``doc_id, item_id, n_matched, n_own, n_words``, one row per document and item.
+    """Passages of the items in the indexed documents, one row per document and item: ``doc_id, item_id``, the item's words in the best
+    match, those among them that are its own, the item's words in all, and of the match the place of its first hit in the document's
+    words, its longest phrase in words and its kind.
 
     A document counts if its best alignment with an item makes a passage of ``SHARE`` of the item's words, of which up to
     ``EXCHANGED`` may be others, and ``OWN`` of the rest are the item's own and no stock phrase. Items with a null id or text, or with fewer than three words, match nothing; of items
-    with one id each counts by itself. The items pass in blocks of ``BLOCK_ITEMS`` and ``BLOCK_BYTES`` at most, so what is
-    broadcast is bounded however many there are.
+    with one id each counts by itself. The items pass in blocks of ``BLOCK_ITEMS`` and ``BLOCK_BYTES`` at most, of which a pass over
+    the index takes ``PASS_BLOCKS``; so what is broadcast is bounded however many there are.
     """
     spark, stock, parts = index.sparkSession, stock_phrases(items, id, text), []
-    schema = "doc_id long, item_id long, n_matched int, n_own int, n_words int"
-    for block in _blocks(items, id, text):
-        shared = spark.sparkContext.broadcast(Items(block, stock))
+    # segments weigh alike, so tasks do that have as many; files and their splits say nothing of that
+    spread = index.repartition(max(1, -(-index.count() // TASK_SEGMENTS)))
+    columns = [c.split()[0] for c in MATCH.split(", ")]
+    for blocks in _passes(items, id, text):
+        shared = spark.sparkContext.broadcast([Items(block, stock) for block in blocks])
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    yield pd.DataFrame(list(_matches(Segment(row), shared.value)), columns=["doc_id", "item_id", "n_matched", "n_own", "n_words"])
+                    segment = Segment(row)
+                    for block in shared.value:
+                        yield pd.DataFrame(list(_matches(segment, block)), columns=columns)
 
-        parts.append(index.mapInPandas(run, schema))
+        parts.append(spread.mapInPandas(run, MATCH))
     if not parts:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], MATCH)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _passes(items: DataFrame, id: str, text: str) -> Iterator[list]:
+    blocks = _blocks(items, id, text)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        yield some
+
+
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents and the items that leaked into them, from ``doc_id, text`` and ``item_id, item_text``."""
     return search(build_index(documents), items)

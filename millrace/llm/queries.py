@@ -67,6 +67,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Where the leaked passages lie, how long their longest phrase is, and whether they are exact or in proximity."""
+    return leakage.leaked(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """The items that leaked, with their suite, the documents they leaked into and the largest share found in one."""
     items = _table(spark, d, "eval_items")
@@ -82,7 +87,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error, p3_counts, p3_file_blooms, p6_sequences, p6_usage, p7_found, p7_items, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_error, p3_counts, p3_file_blooms, p6_sequences, p6_usage, p7_found, p7_matches, p7_items, p8_found, p8_sources)}
 SQL: dict[str, str] = {
     "p3_found": """SELECT record_id FROM (
   SELECT record_id, rec_key, row_number() OVER (PARTITION BY rec_key ORDER BY arrived_at, record_id) AS nth FROM block_records

@@ -19,6 +19,13 @@ ITEMS = [(i, text(40 + i % 30)) for i in range(30)]
 STOCK = "give the result to three significant figures and state all assumptions clearly"
 
 
+@pytest.fixture(params=[1, 8])
+def passes(request, monkeypatch):
+    """The same with blocks of few items, one or several in a pass."""
+    monkeypatch.setattr(L, "BLOCK_ITEMS", 9)
+    monkeypatch.setattr(L, "PASS_BLOCKS", request.param)
+
+
 def found(spark, docs, items=ITEMS):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)).withColumn("id", F.lit("x"))
     i = spark.createDataFrame(items, "item_id long, item_text string").withColumn("text", F.lit("y"))
@@ -33,7 +40,7 @@ def changed(s, every, r=rng):
     return " ".join("changed" if k % every == every - 1 else w for k, w in enumerate(s.split()))
 
 
-def test_what_is_a_case_and_what_is_not(spark):
+def test_what_is_a_case_and_what_is_not(spark, passes):
     whole = ITEMS[5][1]
     n = len(whole.split())
     docs = [
@@ -92,6 +99,31 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(want) > 15 and found(spark, docs) == want
 
 
+def test_items_of_three_words_match_as_a_whole(spark):
+    items = [(1, "zeta eta theta"), (2, "only two"), (3, "iota kappa lambda mu")]
+    docs = [(1, f"{text(30)} zeta eta theta {text(30)}"), (2, "zeta theta eta"), (3, "Zeta,\neta theta"), (4, "only two"), (5, "iota kappa lambda mu"), (6, "zeta eta theta zeta eta theta")]
+    assert found(spark, docs, items) == {(1, 1), (3, 1), (5, 3), (6, 1)}
+
+
+def test_one_run_that_occurs_twice_is_one_hit():
+    item = "iota kappa lambda " + text(2)
+    docs = pd.DataFrame({"id": [1], "text": ["iota kappa lambda x y iota kappa lambda"]})
+    (table,) = L._index(iter([docs]))
+    s = L.Segment(next(table.itertuples(index=False)))
+    assert not list(L._matches(s, L.Items([(1, L.words(item))], set())))
+
+
+def test_matches_say_where_they_lie_and_of_what_kind(spark):
+    whole = ITEMS[5][1]
+    n = len(whole.split())
+    docs = [(1, f"{text(50)} {whole} {text(50)}"), (2, f"{text(20)} {changed(whole, 7)} {text(5)}"), (3, f"{text(9)} {part(5, 10, 10 + n // 2)}")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, item_text string")
+    got = {r.doc_id: r for r in L.leaked(d, i).collect()}
+    assert (got[1].first_word, got[1].phrase_words, got[1].kind) == (50, n, L.EXACT)
+    assert (got[2].first_word, got[2].phrase_words, got[2].kind) == (20, 6, L.PROXIMITY)
+    assert (got[3].first_word, got[3].phrase_words, got[3].kind) == (9, n // 2, L.EXACT)
+
+
 def test_alignment_equals_the_plain_recurrence():
     r = np.random.default_rng(2)
     pairs = [(r.integers(0, 6, r.integers(1, 15)), r.integers(0, 6, r.integers(1, 25))) for _ in range(60)]
