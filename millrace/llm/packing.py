@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
+from millrace.functions.joins import join_measured
 from millrace.sources import workspace
 from millrace.sources.workers import ship
 
@@ -31,6 +32,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Buckets that ranks within one length are counted in, so that copies of one length never meet in one task.
 BUCKETS = 256
+#: Documents above the capacity that one task numbers, on average.
+LONG_BUCKET = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -125,15 +128,16 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, id: str = "doc_id", tex
     slot = F.filter("slots", lambda s: (s["first_rank"] <= F.col("rank")) & (s["last_rank"] >= F.col("rank")))[0]
     placed = placed.withColumn("slot", slot)
     rest = placed.select("id", F.col("full").alias("piece"), F.col("length").alias("n_tokens"), (F.col("slot.first_sequence") + F.col("rank") - F.col("slot.first_rank")).alias("sequence_id"), F.col("slot.start").alias("start"))
-    # the full pieces get sequences behind the packed ones, numbered by bucket
-    long = items.filter("full > 0")
-    totals = {r["bucket"]: r["n"] for r in long.groupBy("bucket").agg(F.sum("full").alias("n")).collect()}
-    base, starts = n_packed, []
-    for b in range(BUCKETS):
-        starts.append(base)
-        base += totals.get(b, 0)
-    ahead = F.coalesce(F.sum("full").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.array(*[F.lit(s).cast("long") for s in starts])[F.col("bucket")] + ahead
+    # the full pieces get sequences behind the packed ones, numbered by bucket; there are as many buckets as the documents need
+    long = items.filter("full > 0").select("id", "full")
+    n_long = long.count()
+    long = long.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(BUCKETS, n_long // LONG_BUCKET))))
+    behind = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = long.groupBy("part").agg(F.sum("full").alias("n")).select("part", (F.coalesce(F.sum("n").over(behind), F.lit(0)) + n_packed).alias("base"))
+    starts = workspace.keep(starts, "long-buckets")
+    in_part = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("base") + F.coalesce(F.sum("full").over(in_part), F.lit(0))
+    long = join_measured(long, starts, ["part"], "inner")
     whole = long.withColumn("first", first).select("id", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("full") - 1)).alias("piece", "sequence_id"))
     whole = whole.select("id", "piece", F.lit(capacity).alias("n_tokens"), "sequence_id", F.lit(0).alias("start"))
     none = items.filter("length = 0").select("id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("int").alias("start"))
