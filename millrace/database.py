@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import errors
 from millrace.errors import QueryError
 from millrace.functions.columns import col
 from millrace.plans import nodes as n
-from millrace.plans.analyzer import check_value
+from millrace.plans.analyzer import check_value, check_where
 from millrace.plans.compiler import select, where
 from millrace.plans.parser import parse
 from millrace.sources import workspace
@@ -55,7 +56,7 @@ class Database:
     def _table(self, schema: TableSchema) -> KeyedTable:
         if schema.name not in self._open:
             fields = T.StructType([T.StructField(c.name, _SPARK[c.kind]) for c in schema.columns])
-            self._open[schema.name] = KeyedTable(self.spark, f"{self.root}/tables/{schema.name}", fields, schema.pk)
+            self._open[schema.name] = KeyedTable(self.spark, f"{self.root}/tables/{schema.name}", fields, schema.pk, indexes={i.name: i.column_name for i in self.catalog.indexes_for(schema.name)})
         return self._open[schema.name]
 
     def _writable(self, name: str) -> TableSchema:
@@ -89,19 +90,27 @@ class Database:
     def index_entries(self, name: str) -> DataFrame:
         """An index as a table: value and key of each row, ranged and sorted by value, then by the key's text."""
         index = self._index(name)
-        pk = self._pk(index.table_name)
-        key = [col(pk)] if pk and pk != index.column_name else []
-        return self.rows(index.table_name).select(col(index.column_name), *key).orderBy(col(index.column_name), *([col(pk).cast("string")] if pk else []))
+        rows, pk = self._table(self.catalog.table(index.table_name)).entries(name), self.catalog.table(index.table_name).pk
+        return rows.orderBy(col(index.column_name), col(pk).cast("string"))
 
     def index_lookup(self, name: str, op: str, value: int | str) -> DataFrame:
-        """The rows whose indexed column compares so with a value: a range predicate that reaches the scan."""
+        """The rows whose indexed column compares so with a value."""
         index = self._index(name)
-        rows = self.rows(index.table_name)
-        return rows.filter(where(rows, n.Comparison(op, n.Name(index.column_name), n.Literal(value))))
+        schema = self.catalog.table(index.table_name)
+        check_where(n.Comparison(op, n.Name(index.column_name), n.Literal(value)), schema.kinds)
+        return self._table(schema).lookup(name, op, value)
+
+    def _matching(self, name: str, condition: n.Condition | None) -> DataFrame:
+        """The rows of a table that its access paths can't rule out; keyed tables have some."""
+        if name in self._attached or condition is None:
+            return self.rows(name)
+        schema = self.catalog.table(name)
+        check_where(condition, schema.kinds)
+        return self._table(schema).matching(condition)
 
     def _index(self, name: str) -> IndexSchema:
         if name not in self.catalog.indexes:
-            raise QueryError(f"index '{name}' does not exist")
+            raise QueryError(errors.NO_INDEX.format(name=name))
         return self.catalog.indexes[name]
 
     def _pk(self, table: str) -> str | None:
@@ -120,17 +129,19 @@ class Database:
         """Parse, check and carry out one statement; raises QueryError if it can't be."""
         match parse(text):
             case n.Select() as s:
-                rows = self.rows(s.table)
+                rows = self._matching(s.table, s.where)
                 return Result(rows=select(rows, s, self._pk(s.table)))
             case n.CreateTable(name, columns):
                 if name in self._attached:
-                    raise QueryError('"table already exists"')
+                    raise QueryError(errors.TABLE_EXISTS)
                 self.catalog.create_table(name, columns)
-                return Result("Table created successfully")
+                return Result(errors.TABLE_CREATED)
             case n.CreateIndex(name, table, column):
-                self._writable(table)
+                schema = self._writable(table)
+                self.catalog.check_index(name, table, column)
+                self._table(schema).add_index(name, column)
                 self.catalog.create_index(name, table, column)
-                return Result("Index created successfully")
+                return Result(errors.INDEX_CREATED)
             case n.Insert() as s:
                 return self._insert(s)
             case n.Update() as s:
@@ -144,29 +155,29 @@ class Database:
         if len(set(columns)) < len(columns):
             raise QueryError("a column is named twice")
         if len(columns) != len(s.values):
-            raise QueryError(f"expected {len(columns)} values but received {len(s.values)}")
+            raise QueryError(errors.COUNT_OF_VALUES.format(expected=len(columns), received=len(s.values)))
         row = dict(zip(columns, s.values, strict=True))
         for c in columns:
             if c not in schema.kinds:
-                raise QueryError(f"unknown column '{c}'")
+                raise QueryError(errors.UNKNOWN_COLUMN.format(name=c))
         for c, kind in schema.kinds.items():
             if c not in row:
-                raise QueryError(f"missing value for column '{c}'")
+                raise QueryError(errors.MISSING_VALUE.format(name=c))
             check_value(c, kind, row[c])
         self._table(schema).write({c: v.value for c, v in row.items()})
-        return Result("Insert parsed successfully")
+        return Result(errors.INSERTED)
 
     def _update(self, s: n.Update) -> Result:
         schema = self._writable(s.table)
         if s.where is None:
-            raise QueryError("UPDATE without WHERE is not supported")
+            raise QueryError(errors.UPDATE_NEEDS_WHERE)
         if schema.pk in s.changes:
-            raise QueryError("updating the primary key is not supported")
+            raise QueryError(errors.KEY_IS_FIXED)
         for c, v in s.changes.items():
             if c not in schema.kinds:
-                raise QueryError(f"unknown column '{c}'")
+                raise QueryError(errors.UNKNOWN_COLUMN.format(name=c))
             check_value(c, schema.kinds[c], v)
-        rows = self.rows(s.table)
+        rows = self._matching(s.table, s.where)
         # the table is read once: what it gives is counted and written from there
         with workspace.borrowed(rows.filter(where(rows, s.where)), "hits") as hit:
             count = hit.count()
@@ -177,8 +188,8 @@ class Database:
     def _delete(self, s: n.Delete) -> Result:
         schema = self._writable(s.table)
         if s.where is None:
-            raise QueryError("DELETE without WHERE is not supported")
-        rows = self.rows(s.table)
+            raise QueryError(errors.DELETE_NEEDS_WHERE)
+        rows = self._matching(s.table, s.where)
         with workspace.borrowed(rows.filter(where(rows, s.where)).select(col(schema.pk)), "hits") as hit:
             count = hit.count()
             if count:
@@ -200,4 +211,4 @@ class Database:
 
 
 def _counted(count: int, done: str, by_key: bool) -> str:
-    return f"0 rows {done}" if count == 0 else f"1 row {done}" if by_key else f"{count} row(s) {done}"
+    return (errors.NO_ROWS if count == 0 else errors.ONE_ROW if by_key else errors.SOME_ROWS).format(n=count, done=done)

@@ -123,7 +123,7 @@ _add("employees_by_department", "SELECT department, COUNT(*), SUM(salary), AVG(s
 
 def _indexed(op: str, value: int | str, index: str = "by_customer") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        db = _orders(spark, d)
+        db = orders_copy(spark, d)
         db.execute("CREATE INDEX by_customer ON orders_copy (o_custkey)")
         db.execute("CREATE INDEX by_status ON orders_copy (o_orderstatus)")
         return db.index_lookup(index, op, value)
@@ -131,7 +131,7 @@ def _indexed(op: str, value: int | str, index: str = "by_customer") -> Callable[
     return run
 
 
-def _orders(spark: SparkSession, d: str) -> Database:
+def orders_copy(spark: SparkSession, d: str) -> Database:
     db = Database(spark, workspace.place(spark, "database"))
     db.execute("CREATE TABLE orders_copy (o_orderkey INT PRIMARY KEY, o_custkey INT, o_orderstatus TEXT)")
     db.insert_many("orders_copy", table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
@@ -139,7 +139,7 @@ def _orders(spark: SparkSession, d: str) -> Database:
 
 
 def index_entries(spark: SparkSession, d: str) -> DataFrame:
-    db = _orders(spark, d)
+    db = orders_copy(spark, d)
     db.execute("CREATE INDEX by_status ON orders_copy (o_orderstatus)")
     return db.index_entries("by_status")
 
@@ -149,7 +149,7 @@ def index_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def _writes(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        db = _orders(spark, d)
+        db = orders_copy(spark, d)
         for s in statements:
             db.execute(s)
         return db.sql("SELECT * FROM orders_copy")
@@ -157,7 +157,7 @@ def _writes(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-_COPY = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+COPY = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 #: name: (statements, SQL of the table afterwards)
 _WRITES: dict[str, tuple[tuple[str, ...], str]] = {
     "update_pk": (("UPDATE orders_copy SET o_orderstatus = 'X' WHERE o_orderkey = 42",), "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 42 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"),
@@ -166,15 +166,15 @@ _WRITES: dict[str, tuple[tuple[str, ...], str]] = {
         ("UPDATE orders_copy SET o_orderstatus = 'X', o_custkey = 7 WHERE o_orderstatus = 'F'",),
         "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 7 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     ),
-    "delete_pk": (("DELETE FROM orders_copy WHERE o_orderkey = 42",), f"{_COPY} WHERE o_orderkey <> 42"),
+    "delete_pk": (("DELETE FROM orders_copy WHERE o_orderkey = 42",), f"{COPY} WHERE o_orderkey <> 42"),
     "insert_upsert": (
         ("INSERT INTO orders_copy VALUES (42, 1, 'N')", "INSERT INTO orders_copy (o_orderstatus, o_orderkey, o_custkey) VALUES ('N', 900000001, 2)"),
-        f"{_COPY} WHERE o_orderkey <> 42 UNION ALL SELECT 42, 1, 'N' UNION ALL SELECT 900000001, 2, 'N'",
+        f"{COPY} WHERE o_orderkey <> 42 UNION ALL SELECT 42, 1, 'N' UNION ALL SELECT 900000001, 2, 'N'",
     ),
-    "insert_after_delete": (("DELETE FROM orders_copy WHERE o_custkey >= 10", "INSERT INTO orders_copy VALUES (42, 1, 'N')"), f"{_COPY} WHERE o_custkey < 10 AND o_orderkey <> 42 UNION ALL SELECT 42, 1, 'N'"),
+    "insert_after_delete": (("DELETE FROM orders_copy WHERE o_custkey >= 10", "INSERT INTO orders_copy VALUES (42, 1, 'N')"), f"{COPY} WHERE o_custkey < 10 AND o_orderkey <> 42 UNION ALL SELECT 42, 1, 'N'"),
 }
 for _word, _op in (("eq", "="), ("ne", "!="), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")):
-    _WRITES[f"delete_{_word}"] = (f"DELETE FROM orders_copy WHERE o_custkey {_op} 700",), f"{_COPY} WHERE NOT (o_custkey {_op} 700)"
+    _WRITES[f"delete_{_word}"] = (f"DELETE FROM orders_copy WHERE o_custkey {_op} 700",), f"{COPY} WHERE NOT (o_custkey {_op} 700)"
 
 
 # -- key-value records --------------------------------------------------------------------------------------
@@ -214,16 +214,37 @@ def kv_merge_drop_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return kv.merge(*_runs(spark, d), drop_tombstones=True)
 
 
-def kv_compact(spark: SparkSession, d: str) -> DataFrame:
-    """The records loaded into a store, compacted, and read back."""
+def _versions(spark: SparkSession, d: str) -> kv.KeyValueStore:
+    """All versions in a store, as three runs that share keys, tombstones older and newer than values among them."""
     store = kv.KeyValueStore(spark, workspace.place(spark, "kv"))
-    newest = kv.merge(_records(spark, d))
-    store.table.write_all(newest.filter("not deleted").select("key", "value"))
-    store.table.write_all(newest.filter("deleted").select("key"), dead=True)
+    rows = _records(spark, d).select("key", "value", F.col("seq").alias("change_no"), F.col("deleted").alias("is_deleted"))
+    for k in (2, 0, 1):
+        store.table.log.append(rows.filter(F.pmod("change_no", F.lit(3)) == k))
+    return store
+
+
+def kv_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs of versions, compacted to one, and read back."""
+    store = _versions(spark, d)
+    store.table.seq = store.table.log.greatest("change_no")
     store.compact()
     return store.table.read()
 
 
+def kv_merge_on_read(spark: SparkSession, d: str) -> DataFrame:
+    """The same runs, merged when they are read."""
+    return _versions(spark, d).table.read()
+
+
+def kv_purge(spark: SparkSession, d: str) -> DataFrame:
+    """Tombstones before and after all runs were merged to one that no older change can follow."""
+    log = _versions(spark, d).table.log
+    count = F.count_if("is_deleted")
+    n_before = log.merged().agg(count.alias("n")).first()["n"]
+    log.compact(horizon=log.greatest("change_no") + 1)
+    return log.merged().agg(F.lit(n_before).alias("n_before"), count.alias("n_after"))
+
+
 _VERSIONS = """WITH records AS (
   SELECT concat_ws(':', event_type, CAST(user_id AS VARCHAR)) AS key, props AS value, event_id % 7 = 0 AS deleted, event_id AS seq FROM events
 ), newest AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
@@ -237,6 +258,8 @@ _KV = {
     "kv_merge_keep_tombstones": (kv_merge_keep_tombstones, "SELECT * FROM newest"),
     "kv_merge_drop_tombstones": (kv_merge_drop_tombstones, "SELECT * FROM newest WHERE NOT deleted"),
     "kv_compact": (kv_compact, "SELECT key, value FROM newest WHERE NOT deleted"),
+    "kv_merge_on_read": (kv_merge_on_read, "SELECT key, value FROM newest WHERE NOT deleted"),
+    "kv_purge": (kv_purge, "SELECT CAST(count_if(deleted) AS BIGINT) AS n_before, CAST(0 AS BIGINT) AS n_after FROM newest"),
 }
 
 # -- tables kept as text in the store -----------------------------------------------------------------------
@@ -310,8 +333,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     **{k: sql for k, (_, _, sql) in _SELECTS.items()},
-    **{k: f"{_COPY} WHERE o_custkey {predicate}" for k, (_, predicate) in _INDEXED.items()},
-    "index_eq_text": f"{_COPY} WHERE o_orderstatus = 'F'",
+    **{k: f"{COPY} WHERE o_custkey {predicate}" for k, (_, predicate) in _INDEXED.items()},
+    "index_eq_text": f"{COPY} WHERE o_orderstatus = 'F'",
     "index_entries": "SELECT o_orderstatus, o_orderkey FROM orders",
     **{k: sql for k, (_, sql) in _WRITES.items()},
     **{k: _VERSIONS + sql for k, (_, sql) in _KV.items()},

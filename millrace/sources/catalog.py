@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from millrace import errors
 from millrace.errors import QueryError
 from millrace.plans import nodes as n
 from millrace.sources.files import Files
@@ -67,30 +68,34 @@ class Catalog:
 
     def create_table(self, name: str, columns: list[n.ColumnDef]) -> TableSchema:
         if name in self.tables:
-            raise QueryError('"table already exists"')
+            raise QueryError(errors.TABLE_EXISTS)
         keys = sum(c.primary_key for c in columns)
         if keys == 0:
-            raise QueryError("table must contain exactly one PRIMARY KEY")
+            raise QueryError(errors.NO_KEY)
         if keys > 1:
-            raise QueryError("multiple PRIMARY KEY columns are not allowed")
+            raise QueryError(errors.MANY_KEYS)
         if len({c.name.lower() for c in columns}) < len(columns):
             raise QueryError("column names must differ, also when written in one case")
         self.tables[name] = TableSchema(name, tuple(columns))
         self._save()
         return self.tables[name]
 
-    def create_index(self, name: str, table: str, column: str) -> IndexSchema:
+    def check_index(self, name: str, table: str, column: str) -> None:
+        """Raise if there can't be such an index."""
         if name in self.indexes:
-            raise QueryError("index already exists")
+            raise QueryError(errors.INDEX_EXISTS)
         if column not in self.table(table).kinds:
-            raise QueryError(f"unknown column '{column}'")
+            raise QueryError(errors.UNKNOWN_COLUMN.format(name=column))
+
+    def create_index(self, name: str, table: str, column: str) -> IndexSchema:
+        self.check_index(name, table, column)
         self.indexes[name] = IndexSchema(name, table, column)
         self._save()
         return self.indexes[name]
 
     def table(self, name: str) -> TableSchema:
         if name not in self.tables:
-            raise QueryError(f"table '{name}' does not exist")
+            raise QueryError(errors.NO_TABLE.format(name=name))
         return self.tables[name]
 
     def indexes_for(self, table: str) -> list[IndexSchema]:

@@ -106,8 +106,9 @@ def test_files_are_joined_alike_whether_broadcast_or_merged(spark, folder, monke
 def test_whole_records_cross_one_shuffle(spark, folder, monkeypatch):
     monkeypatch.setattr(archive, "TASK_CONTAINERS", 1)
     plans, feed_log = [], many(spark)
-    real = archive.DataFrame.mapInPandas
-    monkeypatch.setattr(archive.DataFrame, "mapInPandas", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
+    frames = type(spark.range(1))
+    real = frames.mapInPandas
+    monkeypatch.setattr(frames, "mapInPandas", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
     arc = archive.pack(*feed_log, folder + "/arc", target=50_000)
     (wide,) = [p for p in plans if "Union" in p]
     above = wide[: wide.index("Union")]

@@ -194,3 +194,66 @@ def test_null_in_bulk_rows_fails_the_whole_statement(spark, db, bad):
     with pytest.raises(QueryError, match="missing value"):
         db.insert_many("users", spark.createDataFrame([(77, "a", 1), bad], "id long, name string, age long"))
     assert rows(db) == before
+
+
+def test_index_lookup_reads_the_buckets_of_its_value_and_of_its_keys(spark, folder):
+    db = Database(spark, folder)
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, size INT, name TEXT)")
+    db.insert_many("t", spark.range(4000).selectExpr("id", "id div 2 as size", "concat('n', id) as name"))
+    db.execute("CREATE INDEX by_size ON t (size)")
+    db.insert_many("t", spark.range(4000, 5000).selectExpr("id", "id div 2 as size", "concat('n', id) as name"))
+    seen = []
+    index = db._table(db.catalog.table("t")).indexes["by_size"]
+    read = index.read
+    index.read = lambda *a, **k: (seen.append(read(*a, **k)), seen[-1])[1]
+    out = db.index_lookup("by_size", "=", 700)
+    assert sorted(r.id for r in out.collect()) == [1400, 1401]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in plan(seen[0]) and "Exchange" not in plan(seen[0]) and "EqualTo(size,700)" in plan(seen[0])
+    assert "SelectedBucketsCount: 1 out of 4" in plan(out) or "SelectedBucketsCount: 2 out of 4" in plan(out)
+    assert [r.name for r in db.sql("SELECT name FROM t WHERE size = 700 AND id > 1400").collect()] == ["n1401"]
+    assert "SelectedBucketsCount: 1 out of 4" in plan(db.sql("SELECT name FROM t WHERE id = 7 AND name != 'x'"))
+
+
+def test_an_index_follows_all_writes(spark, folder, monkeypatch):
+    import random
+
+    monkeypatch.setattr(tables, "FLUSH", 4)
+    rng, state = random.Random(8), {}
+    db = Database(spark, folder)
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, size INT, name TEXT)")
+    db.execute("CREATE INDEX by_size ON t (size)")
+    db.execute("CREATE INDEX by_name ON t (name)")
+    for step in range(24):
+        i, size, name = rng.randrange(8), rng.randrange(4), rng.choice(["a", "b:c", ""])
+        match rng.randrange(5):
+            case 0 | 1 | 2:
+                db.execute(f"INSERT INTO t VALUES ({i}, {size}, '{name}')")
+                state[i] = size, name
+            case 3:
+                db.execute(f"UPDATE t SET size = {size} WHERE name = '{name}'")
+                state = {k: (size if n == name else s, n) for k, (s, n) in state.items()}
+            case 4:
+                db.execute(f"DELETE FROM t WHERE size = {size}")
+                state = {k: v for k, v in state.items() if v[0] != size}
+        if step == 12:
+            db = Database(spark, folder)
+        if step in (11, 23):
+            for op, keep in (("=", lambda a, b: a == b), (">=", lambda a, b: a >= b)):
+                got = {(r.id, r.size, r.name) for r in db.index_lookup("by_size", op, 2).collect()}
+                assert got == {(k, s, n) for k, (s, n) in state.items() if keep(s, 2)}
+            assert {r.id for r in db.sql("SELECT id FROM t WHERE name = 'b:c' AND size < 3").collect()} == {k for k, (s, n) in state.items() if n == "b:c" and s < 3}
+            assert sorted((r.size, r.id) for r in db.index_entries("by_size").collect()) == sorted((s, k) for k, (s, _) in state.items())
+    db.compact("t")
+    assert sorted(tuple(r)[:2] for r in db._table(db.catalog.table("t")).indexes["by_size"].merged().select("size", "id").collect()) == sorted((s, k) for k, (s, _) in state.items())
+
+
+def test_many_hits_are_scanned(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "FEW", 10)
+    db = Database(spark, folder)
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, size INT)")
+    db.insert_many("t", spark.range(100).selectExpr("id", "id % 3 as size"))
+    db.execute("CREATE INDEX by_size ON t (size)")
+    assert db.index_lookup("by_size", "=", 1).count() == 33
+    with pytest.raises(QueryError):
+        db.index_lookup("by_size", "=", "one")
