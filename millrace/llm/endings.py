@@ -6,6 +6,8 @@ import re
 
 #: What the end of a text says about a cut.
 CLOSED, UNSURE, REMARK, OPEN = "closed", "unsure", "remark", "open"
+#: All that ``detail`` can say.
+ENDINGS = (CLOSED, UNSURE, f"{REMARK} line", f"{REMARK} part", f"{OPEN} word", f"{OPEN} sign", f"{OPEN} in word", f"{OPEN} in sign", f"{OPEN} in stop")
 
 # Commands that may stand at the end of a finished file, after its last sentence.
 TRAILERS = ("endinput", "clearpage", "cleardoublepage", "newpage", "pagebreak", "bibliography", "bibliographystyle", "input", "include", "printbibliography", "maketitle", "appendix", "label", "tableofcontents", "fi", "bye", "vfill", "bigskip", "medskip", "smallskip", "par", "noindent", "hfill", "qed")
@@ -17,6 +19,8 @@ HEADINGS = frozenset(("part", "chapter", "section", "subsection", "subsubsection
 _TOKEN = re.compile(r"%[^\n]*|\n[ \t]*\n|\\(begin|end)\s*\{([^{}\n]*)\}|\\([a-zA-Z@]+)\*?|\\.|\$\$?|[{}]", re.S)
 _VERBATIM = {"verbatim", "verbatim*", "lstlisting", "comment", "minted"}
 _TRAILER = re.compile(r"\\(?:" + "|".join(TRAILERS) + r")\*?(?:\s*\[[^\[\]]*\])?(?:\s*\{[^{}]*\})*\s*$")
+# Of these, commands that mean nothing without the argument in braces that follows.
+_BARE = re.compile(r"\\(?:bibliography|bibliographystyle|include|label)\*?\s*$")
 _COMMENT = re.compile(r"(?:^|(?<=\n))[ \t]*%[^\n]*\s*$")
 _SENTENCE = re.compile(r"""[.?!。！？](?:["'”’»)\]}$]|''|\\\)|\\\]|~?\\(?:cite[tp]?|footnote|label|ref)\*?(?:\[[^\[\]]*\])?\{[^{}]*\})*$""")
 _WORDS = re.compile(r"(?<![\\\w])[^\W\d_]{2,}(?:\s+[^\W\d_]+){2,}")
@@ -143,6 +147,8 @@ def detail(text: str) -> str:
         if not remark or _SENTENCE.search(remark) or before != CLOSED:
             return before
         return f"{REMARK} {'line' if '\n' in text[len(rest):] else 'part'}"
+    if _BARE.search(rest):
+        return f"{OPEN} sign"
     while True:
         cut = _TRAILER.sub("", rest).rstrip()
         if (m := _COMMENT.search(cut)) is not None:

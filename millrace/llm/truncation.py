@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
 from millrace.functions.joins import join_measured
-from millrace.llm.endings import CLOSED, OPEN, REMARK, UNSURE, detail, without_mark
+from millrace.llm.endings import CLOSED, ENDINGS, OPEN, REMARK, UNSURE, detail, without_mark
 from millrace.sources import workspace
 from millrace.sources.workers import ship
 
-#: Where the EM starts: the share of each class of endings among cut and among whole texts. For cut texts that is worth ``WORTH``
-#: texts, for whole ones as many as there are: that a whole text hardly ever looks open is what tells cuts in transfer from them.
+#: Where the EM starts: the share of each class of endings among cut and among whole texts. That is worth ``WORTH`` texts, but for open
+#: ends of whole texts as many as there are: that a whole text hardly ever looks open is what tells cuts in transfer from them.
 START, WORTH = {OPEN: (0.15, 2e-5), UNSURE: (0.05, 0.05), REMARK: (0.005, 0.02)}, 10.0
 #: The share of texts with an ellipsis: cut where no limit is near, cut at a limit, and whole; of closed texts cut and whole.
 MARKED, CLOSED_MARKED = (0.01, 0.3, 0.001), (0.01, 1e-6)
@@ -199,9 +199,9 @@ def weigh(grades: np.ndarray, classes: list[str], counts: np.ndarray) -> tuple[d
         return {}, {}, CUT_PRIOR
     marked = np.array([c.endswith("+") and not c.startswith(CLOSED) for c in classes])
     free = np.array([not c.startswith(CLOSED) for c in classes])
-    endings = sorted({c.rstrip("+") if f else c for c, f in zip(classes, free, strict=True)})
+    endings = sorted({*ENDINGS, *(c.rstrip("+") if f else c for c, f in zip(classes, free, strict=True))})
     of = np.array([endings.index(c.rstrip("+") if f else c) for c, f in zip(classes, free, strict=True)])
-    start = _start(endings)
+    start, is_open = _start(endings), np.array([e.startswith(OPEN) for e in endings])
     shares, marks, alpha = start.copy(), list(MARKED), np.clip(np.asarray(grades, float), 1e-3, 0.999)
 
     def with_mark(m: float) -> np.ndarray:
@@ -217,8 +217,9 @@ def weigh(grades: np.ndarray, classes: list[str], counts: np.ndarray) -> tuple[d
         of_cut = counts * cut / np.maximum(cut + whole, 1e-300)
         of_whole = counts - of_cut
         alpha[0] = (of_cut[0].sum() + CUT_PRIOR * GROUP_WORTH) / (counts[0].sum() + GROUP_WORTH)
-        for k, (weight, worth) in enumerate(((of_cut.sum(axis=0), WORTH), (of_whole.sum(axis=0), of_whole.sum() + WORTH))):
-            shares[k] = np.bincount(of, weight, len(endings)) + worth * start[k]
+        for k, weight in enumerate((of_cut.sum(axis=0), of_whole.sum(axis=0))):
+            worth = np.where(is_open & (k == 1), weight.sum() + WORTH, WORTH)
+            shares[k] = (np.bincount(of, weight, len(endings)) + worth * start[k]) / (weight.sum() + worth)
             shares[k] /= shares[k].sum()
         for k, weight in enumerate((of_cut[0], of_cut[1:].sum(axis=0), of_whole.sum(axis=0))):
             marks[k] = (weight[marked].sum() + WORTH * MARKED[k]) / (weight[free].sum() + WORTH)

@@ -18,7 +18,7 @@ DOC = "\\documentclass{article}\n\\begin{document}\nWords come first.\n\n"
         ("Done.\n\n\\clearpage", CLOSED), ("Done.\n\\bibliographystyle{plain}\n\\bibliography{refs}\n", CLOSED), ("Done.\n\\input{sections/x}", CLOSED), ("Done.\n%%%%%%%%%%", CLOSED), ("Done.\n% A remark that ends.", CLOSED), ("Done.\n% a long remark\n% over two lines.\n\\endinput", CLOSED),
         ("\\begin{equation}\na = b\n\\end{equation}", CLOSED), ("Costs 5\\% and \\$3.", CLOSED), ("A broken $\\sum_{i} Each whole word follows here.", CLOSED), ("Broken {\\bf here\n\nbut fine later.", CLOSED), ("\\begin{figure}\nlost\n\\section{Next}\nAll is well.", CLOSED),
         ("It ends in a wo", OPEN), ("It ends without", OPEN), ("A comma,", OPEN), ("About 7\\%", OPEN), ("with $a = b", OPEN), ("with $a = b.", OPEN), ("\\begin{figure}\n\\caption{A whole sentence.}\n", OPEN), ("\\begin{thebibliography}{9}\n\\bibitem{a} A. Bee, 3 (2004).", OPEN),
-        ("Words.\n\n\\section{Disc", OPEN), ("Words.\n\\bi", OPEN), ("Words.\n\\end{docu", OPEN), ("\\iffalse\nA draft.", OPEN), ("\\documentclass{article}\n\\usepackage{x}", OPEN), ("No stop\n% end of file", OPEN), ("% a draft line\nSome words\n% more", OPEN),
+        ("Words.\n\n\\section{Disc", OPEN), ("Words.\n\\bi", OPEN), ("\\section{Data}\\label", OPEN), ("Done.\n\\bibliography", OPEN), ("\\section{Data}\\label{sec:d}\n\nDone.", CLOSED), ("Words.\n\\end{docu", OPEN), ("\\iffalse\nA draft.", OPEN), ("\\documentclass{article}\n\\usepackage{x}", OPEN), ("No stop\n% end of file", OPEN), ("% a draft line\nSome words\n% more", OPEN),
         ("Done.\n% end of section\n", REMARK), ("Done.\n\n% the mild beam", REMARK), ("", UNSURE), ("   \n", UNSURE), ("% only a remark", UNSURE),
     ],
 )
