@@ -46,11 +46,12 @@ def parsed(key: Column) -> dict[str, Column]:
 
 
 def resolve(changes: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Every live index entry of the feed with its target's fate.
+    """Every live index entry of the feed with its target's fate, by the interval in which the target was valid.
 
-    ``rec_key, table_name, column_name, target_key, valid_from, missing, deleted, late, undeclared``: the target never
-    occurred; its newest change is a tombstone; it is live but first arrived on a later calendar day than the
-    entry; no row of ``schemas`` has the entry's table and column. A malformed entry's target is missing.
+    ``rec_key, table_name, column_name, target_key, valid_from, missing, deleted, late, stillborn, undeclared``: the target has no
+    interval; its interval has ended; it is open but began on a later calendar day than the entry's; it had ended before
+    the entry's began; no row of ``schemas`` has the entry's table and column. A malformed entry's target is missing; what has no
+    time of arrival is neither late nor stillborn.
     """
     keys = workspace.keep(timeline(changes), "orphans-timeline")
     f = parsed(F.col("rec_key"))
@@ -58,7 +59,7 @@ def resolve(changes: DataFrame, schemas: DataFrame) -> DataFrame:
         "rec_key", "valid_from", f["table_name"].alias("table_name"), f["column_name"].alias("column_name"),
         F.concat(f["table_name"], F.lit(":"), f["pk"]).alias("target_key"),
     )
-    targets = keys.select(F.col("rec_key").alias("target_key"), F.col("live").alias("t_live"), F.col("valid_from").alias("t_from"))
+    targets = keys.select(F.col("rec_key").alias("target_key"), F.col("live").alias("t_live"), F.col("valid_from").alias("t_from"), F.col("valid_to").alias("t_to"))
     declared = schemas.select("table_name", "column_name").distinct().withColumn("declared", F.lit(True))
     late = F.coalesce(F.col("t_live") & (F.to_date("t_from") > F.to_date("valid_from")), F.lit(False))
     return (
@@ -69,6 +70,7 @@ def resolve(changes: DataFrame, schemas: DataFrame) -> DataFrame:
             F.col("t_live").isNull().alias("missing"),
             F.coalesce(~F.col("t_live"), F.lit(False)).alias("deleted"),
             late.alias("late"),
+            F.coalesce(F.col("t_to") < F.col("valid_from"), F.lit(False)).alias("stillborn"),
             F.col("declared").isNull().alias("undeclared"),
         )
     )
@@ -91,7 +93,7 @@ def orphans(changes: DataFrame, schemas: DataFrame, columns: DataFrame) -> DataF
 
 
 def report(changes: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Broken entries counted per table and day of the entry's first arrival, by reason; an entry may have two reasons."""
+    """Broken entries counted per table and day of the entry's first arrival, by reason; an entry may have several."""
     broken = resolve(changes, schemas).filter(BROKEN)
     count = lambda what: F.count_if(what).alias(f"n_{what}")
-    return broken.groupBy("table_name", F.to_date("valid_from").alias("day")).agg(F.count("*").alias("n_orphans"), *map(count, ("missing", "deleted", "late", "undeclared")))
+    return broken.groupBy("table_name", F.to_date("valid_from").alias("day")).agg(F.count("*").alias("n_orphans"), *map(count, ("missing", "deleted", "late", "stillborn", "undeclared")))

@@ -85,7 +85,8 @@ WITH entries AS (
 
 _ENTRIES = """
 WITH states AS (
-  SELECT rec_key, arg_max(deleted, (iter_index, seq)) AS dead, min(arrived_at) AS born FROM block_records GROUP BY rec_key
+  SELECT rec_key, arg_max(deleted, (iter_index, seq)) AS dead, min(arrived_at) AS born,
+    CASE WHEN arg_max(deleted, (iter_index, seq)) THEN arg_max(arrived_at, (iter_index, seq, -epoch_us(arrived_at))) END AS died FROM block_records GROUP BY rec_key
 ), entries AS (
   SELECT rec_key, born, split_part(rec_key, ':', 2) AS tab, split_part(rec_key, ':', 3) AS col,
          split_part(rec_key, ':', 2) || ':' || split_part(rec_key, ':', -1) AS target
@@ -93,6 +94,7 @@ WITH states AS (
 ), judged AS (
   SELECT e.*, t.rec_key IS NULL AS missing, coalesce(t.dead, false) AS deleted,
          coalesce(NOT t.dead AND CAST(t.born AS DATE) > CAST(e.born AS DATE), false) AS late,
+         coalesce(t.died < e.born, false) AS stillborn,
          NOT EXISTS (SELECT 1 FROM index_schemas s WHERE s.table_name = e.tab AND s.column_name = e.col) AS undeclared
   FROM entries e LEFT JOIN states t ON t.rec_key = e.target
 )"""
@@ -137,7 +139,7 @@ SELECT 'index_schemas', index_name FROM index_schemas s
 WHERE NOT EXISTS (SELECT 1 FROM table_columns c WHERE c.table_name = s.table_name AND c.column_name = s.column_name)""",
     "p4_report": f"""{_ENTRIES}
 SELECT tab AS table_name, CAST(born AS DATE) AS day, count(*) AS n_orphans, CAST(count_if(missing) AS BIGINT) AS n_missing, CAST(count_if(deleted) AS BIGINT) AS n_deleted,
-       CAST(count_if(late) AS BIGINT) AS n_late, CAST(count_if(undeclared) AS BIGINT) AS n_undeclared
+       CAST(count_if(late) AS BIGINT) AS n_late, CAST(count_if(stillborn) AS BIGINT) AS n_stillborn, CAST(count_if(undeclared) AS BIGINT) AS n_undeclared
 FROM judged WHERE missing OR deleted OR late OR undeclared GROUP BY ALL""",
     "p5_found": f"{_TAKEN} SELECT rec_key, iter_index, seq FROM marked GROUP BY ALL HAVING NOT bool_or(masked)",
     "p5_segments": f"{_TAKEN} SELECT wal_segment, count(*) AS n_deliveries, CAST(count_if(NOT masked) AS BIGINT) AS n_new FROM marked GROUP BY wal_segment",

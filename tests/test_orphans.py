@@ -27,6 +27,7 @@ def test_each_reason_and_each_border(spark):
         ("t:ok", False, 1, 1, d(1, 23)), ("__index__:t:c:x:ok", False, 1, 2, d(1, 0)),  # later, but on the same day
         ("__index__:t:c:x:none", False, 1, 3, d(1)),  # missing
         ("t:dead", False, 1, 4, d(1)), ("t:dead", True, 2, 4, d(2)), ("__index__:t:c:x:dead", False, 1, 5, d(1)),  # deleted
+        ("__index__:t:c:x2:dead", False, 1, 5, d(3)), ("t:dead", True, 2, 4, d(8)),  # written after the target's interval had ended, which a second delivery of its end doesn't move
         ("t:late", False, 1, 6, d(3)), ("__index__:t:c:x:late", False, 1, 7, d(2)), ("__index__:t:c:x:late", False, 1, 7, d(4)),  # late
         ("t:early", True, 0, 1, d(1)), ("t:early", False, 3, 1, d(9)), ("__index__:t:c:y:early", False, 1, 8, d(5)),  # its first change, a tombstone, was in time
         ("__index__:t:other:x:ok", False, 1, 9, d(1, 23)),  # no such index
@@ -35,11 +36,11 @@ def test_each_reason_and_each_border(spark):
         ("__index__:t:c", False, 1, 13, d(1)), ("__index__:", False, 1, 14, d(1)),  # malformed
         ("T:ok", False, 1, 15, d(1)), ("__index__:T:c:x:ok", False, 1, 16, d(1)),  # case counts
     ]
-    keys = ("__index__:t:c:x:none", "__index__:t:c:x:dead", "__index__:t:c:x:late", "__index__:t:other:x:ok", "__index__:t:c", "__index__:", "__index__:T:c:x:ok")
+    keys = ("__index__:t:c:x:none", "__index__:t:c:x:dead", "__index__:t:c:x2:dead", "__index__:t:c:x:late", "__index__:t:other:x:ok", "__index__:t:c", "__index__:", "__index__:T:c:x:ok")
     assert found(spark, feed) == {("block_records", k) for k in keys}
     changes, schemas, _ = tables(spark, feed)
-    why = {r.rec_key: [n for n in ("missing", "deleted", "late", "undeclared") if r[n]] for r in orphans.resolve(changes, schemas).collect()}
-    assert why["__index__:t:c:x:dead"] == ["deleted"] and why["__index__:t:c:x:late"] == ["late"] and why["__index__:t:other:x:ok"] == ["undeclared"]
+    why = {r.rec_key: [n for n in ("missing", "deleted", "late", "stillborn", "undeclared") if r[n]] for r in orphans.resolve(changes, schemas).collect()}
+    assert why["__index__:t:c:x:dead"] == ["deleted"] and why["__index__:t:c:x2:dead"] == ["deleted", "stillborn"] and why["__index__:t:c:x:late"] == ["late"] and why["__index__:t:other:x:ok"] == ["undeclared"]
     report = {(r.table_name, r.day.day): (r.n_orphans, r.n_missing, r.n_late) for r in orphans.report(changes, schemas).collect()}
     assert report["t", 2] == (1, 0, 1)
 
